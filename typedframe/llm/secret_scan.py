@@ -71,9 +71,13 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     live = F.coalesce(F.filter("verdicts", lambda v: v["live"]), F.expr("cast(array() AS array<struct<start:int,kind:int,live:boolean>>)"))
     keys = F.transform(live, lambda v: F.struct(v["start"], v["kind"]))
     n = len(BASE)
+
+    def of_kind(i: int):
+        return lambda s: s["kind"] == i
+
     base = F.array_sort(F.filter("spans", lambda s: s["kind"] < n))
     every = F.array_sort(F.filter("spans", lambda s: (s["kind"] < n) | F.array_contains(keys, F.struct(s["start"], s["kind"]))))
-    count = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k[0]}") for i, k in enumerate(BASE)]
+    count = [F.size(F.filter("spans", of_kind(i))).cast("long").alias(f"n_{k[0]}") for i, k in enumerate(BASE)]
     return out.select(
         "doc_id", *count, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"),
         F.size(live).cast("long").alias("n_live"), (F.size("spans") - F.size(live)).cast("long").alias("n_copied"),
