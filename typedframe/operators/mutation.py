@@ -81,6 +81,12 @@ def _duplicates(rt: Runtime, table: TableDef, new: DataFrame) -> DataFrame | Non
     return out
 
 
+def _mark_active(table: TableDef, rows: Sequence[Row]) -> None:
+    if table.deleted_at and isinstance(table.struct()[table.deleted_at].dataType, (T.LongType, T.DecimalType)):
+        for r in rows:
+            r.setdefault(table.deleted_at, 0)
+
+
 def insert_frame(rt: Runtime, table: TableDef, new: DataFrame, check_keys: bool = True) -> None:
     """Appends a DataFrame by column names; missing columns are null, missing automatic ids follow the largest and are unique, not dense."""
     old = rt.frame(table)
@@ -105,8 +111,7 @@ def insert(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
                 r[n] = now
             if table.version:
                 r[table.version] = r.get(table.version) or 0
-            if table.deleted_at and isinstance(table.struct()[table.deleted_at].dataType, (T.LongType, T.DecimalType)):
-                r.setdefault(table.deleted_at, 0)
+        _mark_active(table, rows)
         if table.pk and table.auto_increment and (bare := [r for r in rows if not r.get(table.pk)]):
             top = max([rt.frame(table).agg(F.max(table.pk)).first()[0] or 0, *(r[table.pk] for r in rows if r.get(table.pk))])
             for k, r in enumerate(bare, 1):
@@ -220,6 +225,7 @@ def chunked_insert(rt: Runtime, table: TableDef, rows: Iterable[Row], size: int
     done = 0
     for chunk in _chunks(list(rows), size):
         if ignore_errors:
+            _mark_active(table, chunk)
             chunk = _fresh(rt, table, chunk)
         done += insert(rt, table, chunk)
     return done
@@ -233,7 +239,7 @@ def _fresh(rt: Runtime, table: TableDef, rows: Sequence[Row]) -> list[Row]:
             taken |= {(fields, *r) for r in rt.frame(table).join(new, list(fields), "left_semi").select(*fields).collect()}
     out = []
     for r in rows:
-        own = {(fields, *k) for fields in _keys_of(table) if all(k := tuple(r.get(f) for f in fields))}
+        own = {(fields, *k) for fields in _keys_of(table) if None not in (k := tuple(r.get(f) for f in fields))}
         if not own & taken:
             taken |= own
             out.append(r)
