@@ -16,7 +16,7 @@ from .words import mix, shingle_sets
 #: A pair at similarity 0.85 shares no band with probability 7e-8: (1 - 0.85**ROWS)**BANDS.
 BANDS, ROWS, SKETCH_BITS = 28, 5, 512
 #: Pairs whose sketches estimate a similarity below threshold - MARGIN (over six standard deviations) aren't confirmed on full sets.
-MARGIN = 0.2
+MARGIN = 0.18
 #: Ids of documents to confirm are broadcast up to this many, 2 MB; beyond, they are joined by shuffle.
 MOST_BROADCAST = 1 << 18
 #: Members of a bucket are compared in blocks of about this many.
@@ -85,11 +85,15 @@ def _differing(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
 
 
+def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with one of these ids; few ids are broadcast, so the other texts aren't moved."""
+    ids = persisted(ids.distinct())
+    return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union. A document's text is moved once a pair at most."""
-    ids = persisted(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    texts = texts.join(ids, "doc_id", "left_semi")
+    texts = narrowed(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     bound_batches(texts.sparkSession)
@@ -102,8 +106,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
                 (sa, ia), (sb, ib) = shingle_sets(left[p:q], shingle), shingle_sets(right[p:q], shingle)
                 for k in range(q - p):
                     x, y = sa[ia[k] : ia[k + 1]], sb[ib[k] : ib[k + 1]]
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(bool(len(x) and len(y)) and 100 * both >= percent * (len(x) + len(y) - both))
+                    keep.append(bool(len(x) and len(y)) and _similar(x, y, percent))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     return full.mapInArrow(run, "a long, b long")
@@ -128,31 +131,63 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def _bucket_pairs(members: DataFrame, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket and different components whose sketches differ in at most ``most`` bits.
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending, non-empty sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int(np.count_nonzero(y[at] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
-    Buckets are cut into blocks of about BLOCK members; two blocks meet in one place, where bitmaps are compared as arrays, so pairs that don't pass are never rows.
+def _bucket_links(members: DataFrame, most: int, percent: int, shingle: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join the components of each bucket's members (key, rep, comp, bands, sketch, text).
+
+    Buckets are cut into blocks of about BLOCK members; two blocks meet in one place, where bitmaps and then sets are compared as arrays. Only links become rows, fewer
+    than components: pairs that a link has joined are skipped, and a pair is compared only in the first bucket that it shares.
     """
     spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rows = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "rep", "comp", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    rows = rows.select("key", "rep", "comp", "bands", "sketch", "text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     rows = rows.withColumn("place", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def compare(table: pa.Table) -> pa.Table:
         t = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")])
         key, i, j, own, rep, comp = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "rep", "comp"))
         sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(rep), -1)
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        text, sets, root = t.column("text"), {}, {}
+
+        def full(k: int) -> np.ndarray:
+            if rep[k] not in sets:
+                sets[rep[k]] = shingle_sets([(text[k].as_py() or "").encode().lower()], shingle)[0]
+            return sets[rep[k]]
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
         found = []
         for p, q in zip(cut[:-1].tolist(), cut[1:].tolist()):
             mid = q if i[p] == j[p] else p + int(np.searchsorted(own[p:q], j[p]))
             for x in range(p, mid):
-                y = slice(x + 1, q) if i[p] == j[p] else slice(mid, q)
-                near = (np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= most) & (comp[y] != comp[x])
-                found += [(min(rep[x], o), max(rep[x], o)) for o in rep[y][near].tolist()]
-        return pa.table({"a": pa.array([int(x) for x, _ in found], pa.int64()), "b": pa.array([int(y) for _, y in found], pa.int64())})
+                first = x + 1 if i[p] == j[p] else mid
+                far = np.bitwise_count(sketch[first:q] ^ sketch[x]).sum(axis=1)
+                near = np.flatnonzero((far <= most) & (comp[first:q] != comp[x]))
+                if not len(near):
+                    continue
+                near = first + near[np.argsort(far[near], kind="stable")]
+                same = bands[near] == bands[x]
+                for y in near[bands[x][same.argmax(axis=1)] == key[p]].tolist():
+                    a, b = find(int(comp[x])), find(int(comp[y]))
+                    if a != b and _similar(full(x), full(y), percent):
+                        root[max(a, b)] = min(a, b)
+                        found.append((int(max(rep[x], rep[y])), int(min(rep[x], rep[y]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return rows.groupBy("place").applyInArrow(compare, "a long, b long").distinct()
 
@@ -161,12 +196,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Columns doc_id, n_shingles, component_id, kept, a row for each input row.
 
     Texts with equal shingle sets are one class from the start. Each class meets the smallest class of its buckets first, then the first of each bucket
-    that isn't in its component yet, and last, in blocks, all of its buckets' members in other components. So large groups of near copies collapse before anything
+    that isn't in its component yet, and last, in blocks, all of its buckets' members in other components, with the texts at hand. So large groups of near copies collapse before anything
     quadratic, and no pair of a bucket goes unexamined: pairs are left out only if one component holds them already or their sketches are
     far apart. Every link is confirmed on full sets.
 
     Texts without words, null ones included, have an empty set and are linked with nothing. A null id has a null component and is kept. Rows that
-    repeat an id are one document, linked by each of its texts. An empty table gives an empty result; other columns are ignored.
+    repeat an id are one document. An empty table gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     most = least_agreeing(percent / 100 - MARGIN)
@@ -193,22 +228,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mixed = all_of.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         return persisted(all_of.join(mixed, "key"))
 
-    for step in ("stars", "all"):
-        rest = labelled()
-        if rest.isEmpty():
-            break
-        if step == "stars":
-            pivots = rest.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("p"))
-            pairs = rest.join(pivots, "key").where("comp <> p.comp").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct()
-            pairs = near(pairs)
-        else:
-            pairs = persisted(_bucket_pairs(rest.join(sketches, "rep"), most))
-        if pairs.isEmpty():
-            continue
-        found = persisted(confirm(pairs, texts, percent, shingle))
-        if not found.isEmpty():
-            edges = edges.union(found)
+    rest = labelled()
+    if not rest.isEmpty():
+        pivots = rest.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("p"))
+        pairs = near(rest.join(pivots, "key").where("comp <> p.comp").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct())
+        if not pairs.isEmpty():
+            edges = edges.union(persisted(confirm(pairs, texts, percent, shingle)))
             comps = persisted(components(edges))
+            rest = labelled()
+    if not rest.isEmpty():
+        own_text = narrowed(texts, rest.select(F.col("rep").alias("doc_id"))).groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "rep")
+        found = persisted(_bucket_links(rest.join(classes.select("rep", "bands", "sketch"), "rep").join(own_text, "rep"), most, percent, shingle))
+        if not found.isEmpty():
+            comps = persisted(components(edges.union(found)))
     links = own.select("doc_id", "set_hi", "set_lo").join(classes.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"])
     links = links.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     links = links.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
