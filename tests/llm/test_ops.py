@@ -173,15 +173,16 @@ def brute_near(rows, percent=85, n=5):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_near_dedup(docs, rows, empty, spark):
-    want = brute_near(rows)
-    same(near_dedup.near_dedup(docs), [(i, *want[i], i == want[i][1]) for i, _ in rows], "doc_id n_shingles component_id kept")
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup(docs, rows, empty, spark, percent):
+    want = brute_near(rows, percent)
+    same(near_dedup.near_dedup(docs, percent=percent), [(i, *want[i], i == want[i][1]) for i, _ in rows], "doc_id n_shingles component_id kept")
     assert near_dedup.near_dedup(empty).count() == 0
     r = random.Random(9)  # a group whose members are mostly too far apart
     base = prose(r, 120).split()
     more = [(k, " ".join(w if r.random() > 0.012 else f"new{r.random()}" for w in base)) for k in range(60)]
-    want = brute_near(more)
-    same(near_dedup.near_dedup(spark.createDataFrame(more, "doc_id long, text string")), [(i, *want[i], i == want[i][1]) for i, _ in more], "doc_id n_shingles component_id kept")
+    want = brute_near(more, percent)
+    same(near_dedup.near_dedup(spark.createDataFrame(more, "doc_id long, text string"), percent=percent), [(i, *want[i], i == want[i][1]) for i, _ in more], "doc_id n_shingles component_id kept")
 
 
 def test_odd_sketches_estimate():

@@ -13,9 +13,9 @@ from .bpe import groups
 from .io import bound_batches, map_batches, persisted, texts_of
 from .words import mix, shingle_sets
 
-#: A pair at similarity 0.85 shares no band with probability 7e-8: (1 - 0.85**ROWS)**BANDS.
+#: A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8.
 BANDS, ROWS, SKETCH_BITS = 28, 5, 512
-#: Pairs whose sketches estimate a similarity below threshold - MARGIN (over six standard deviations) aren't confirmed on full sets.
+#: Pairs whose sketches estimate a similarity below threshold - MARGIN (over five standard deviations) aren't confirmed on full sets.
 MARGIN = 0.18
 #: Ids of documents to confirm are broadcast up to this many, 2 MB; beyond, they are joined by shuffle.
 MOST_BROADCAST = 1 << 18
@@ -192,7 +192,7 @@ def _bucket_links(members: DataFrame, most: int, percent: int, shingle: int) ->
     return rows.groupBy("place").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, kept, a row for each input row.
 
     Texts with equal shingle sets are one class from the start. Each class meets the smallest class of its buckets first, then the first of each bucket

@@ -24,7 +24,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
