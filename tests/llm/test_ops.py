@@ -225,6 +225,18 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_takes_special_strings_as_text(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y \u3000 it's IT'S 12345"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in enumerate(texts)]
+    got = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), with_ids=True).select("doc_id", "ids").collect()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want
+
+
 def test_sum_of_squares_rule():
     r = np.random.default_rng(4)
     lengths = r.integers(1, 17, 300)
