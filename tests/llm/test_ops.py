@@ -237,6 +237,13 @@ def test_packing_takes_special_strings_as_text(spark):
     assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want
 
 
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    docs = spark.createDataFrame([(None, "a b"), (2**53 + 1, "c"), (2**62 + 3, None)], "doc_id long, text string")
+    out = packing.pack(docs, P.path("byte_bpe_50k.tiktoken")).collect()
+    assert {r.doc_id for r in out} == {None, 2**53 + 1, 2**62 + 3}
+    assert len({r.sequence_id for r in out}) == 1
+
+
 def test_sum_of_squares_rule():
     r = np.random.default_rng(4)
     lengths = r.integers(1, 17, 300)

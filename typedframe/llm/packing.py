@@ -6,7 +6,6 @@ import bisect
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,10 +112,11 @@ def pack(docs: DataFrame, ranks_path: str, end_id: int = 2, capacity: int = 1024
     cut = pieces(docs, ranks_path, end_id, capacity, with_ids=with_ids, **columns)
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ids_crc32", "doc_id", "piece"], kind="stable")
-        bins, places = pack_lengths(pdf["length"].to_numpy(), capacity)
-        return pdf.drop(columns="shard").assign(sequence_id=bins + (int(pdf["shard"].iloc[0]) << 40), offset=places)
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "piece")])
+        bins, places = pack_lengths(table.column("length").to_numpy(), capacity)
+        first = table.column("shard")[0].as_py() << 40
+        return table.drop_columns("shard").append_column("sequence_id", pa.array(bins + first, pa.int64())).append_column("offset", pa.array(places, pa.int64()))
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return cut.groupBy("shard").applyInPandas(fill, ddl)
+    return cut.groupBy("shard").applyInArrow(fill, ddl)
