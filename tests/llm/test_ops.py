@@ -299,6 +299,35 @@ def test_quality_measures_match_the_model():
     assert m["fallback_share"][0] == pytest.approx(sum(map(sp.is_byte, ids)) / len(ids))
 
 
+#: Clean prose in several scripts (UDHR article 1), none of it of a language with a tag's bands but the first.
+CLEAN = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "sr": "Сва људска бића рађају се слободна и једнака у достојанству и правима. Она су обдарена разумом и свешћу и треба једни према другима да поступају у духу братства.",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "ka": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით.",
+    "am": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።",
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+}
+
+
+def test_quality_bands_by_script_and_tag(spark):
+    r = random.Random(3)
+    kept = [(f"{lang} {tag}", " ".join(w for _ in range(4) for w in r.sample(t.split(), len(t.split()))), tag) for lang, t in CLEAN.items() for tag in (None, "xx", lang, f"{lang.upper()}_{lang.upper()}")]
+    junk = [(d.text, d.lang) for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(r"text RLIKE '([#$%&*]{3} .*){20}'").collect()]
+    tags = {"tagged": lambda t: t, "untagged": lambda t: None, "region": lambda t: f"{t}-{t.upper()}", "upper": str.upper}
+    gone = [(f"{k} {n}", t, f(lang)) for n, (t, lang) in enumerate(junk) for k, f in tags.items()]
+    df = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(kept + gone)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.quality_rules(df, P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken")).collect()}
+    assert [name for k, (name, _, _) in enumerate(kept) if not got[k].kept] == []
+    passing = [k for k in range(len(kept), len(got)) if not got[k].base_failed]
+    assert len(passing) > 40 and [gone[k - len(kept)][0] for k in passing if got[k].kept] == []
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = collections.defaultdict(list)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
