@@ -62,7 +62,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of squares; the bins that it leaves open at the end (about half as many as there are gaps) are emptied and filled again by best fit."""
+    """Sum of squares; the bins that it leaves open at the end are emptied and filled again by best fit: few on mixed lengths, most where few lengths fill a bin together."""
     bins, places = sum_of_squares(lengths, capacity)
     filled = np.bincount(bins, lengths, 0)
     again = np.flatnonzero(filled[bins] < capacity)
