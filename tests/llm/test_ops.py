@@ -382,6 +382,14 @@ def test_secrets(docs, rows, empty, spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_secrets_count_a_value_once_whatever_its_kind(spark):
+    value = "deadbeef" * 4
+    texts = [(0, f"password={value}", "s0", "r0"), (1, f"x {value}", "s1", "r0"), (2, f"x {value}", "s1", "r1"), (3, "token=only-here", "s0", "r0"), (4, "token=only-here", "s0", "r1"), (5, "none", "s0", "r0")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: (r.n_live, r.n_copied, r.owners) for r in secret_scan.secret_scan(df).collect()}
+    assert got == {0: (0, 2, "assign:0:2:3,hex:9:2:3"), 1: (0, 1, "hex:2:2:3"), 2: (0, 1, "hex:2:2:3"), 3: (1, 0, "assign:0:1:2"), 4: (1, 0, "assign:0:1:2"), 5: (0, 0, "")}
+
+
 def test_queries_are_named_and_run(spark):
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
     for name in ("op3_warc", "op5_packing", "op10_secrets"):

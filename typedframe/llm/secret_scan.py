@@ -32,7 +32,7 @@ def _found(text: Column, order: int, pattern: str, group: int, least: int) -> Co
         gap, hit, secret = part["0"], part["1"], part["2"]
         start = acc["pos"] + F.length(gap)
         end = start + F.length(hit)
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.xxhash64(secret, F.lit(order)).alias("secret")))
+        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.xxhash64(secret).alias("secret")))
         return F.struct(F.coalesce(end, start).alias("pos"), F.when(F.length(secret) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     walk = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
@@ -44,12 +44,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _counts(verdicts: Column) -> Column:
+    names = F.array(*[F.lit(k[0]) for k in KINDS])
+    return F.array_join(F.transform(F.array_sort(verdicts), lambda v: F.concat_ws(":", F.get(names, v["kind"]), *[v[c].cast("string") for c in ("start", "n_owners", "n_repos")])), ",")
+
+
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang", max_owners: int = 1) -> DataFrame:
-    """Columns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied; a row for each input row.
+    """Columns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, owners; a row for each input row.
 
-    Candidates are hashed, and for each hash the distinct owners and repositories (owner and ``repo_col``) of the
+    Candidates are hashed by the secret's value alone, whatever their kind, and for each hash the distinct owners and repositories (owner and ``repo_col``) of the
     whole corpus are counted: first distinct triples, partially aggregated, then counts. A candidate of at most
-    ``max_owners`` owners is live-looking, else a widely copied example. Base spans always stay; an issued-credential shape
+    ``max_owners`` owners is live-looking, else a widely copied example. ``owners`` lists kind:start:n_owners:n_repos
+    of each candidate; repositories don't enter the verdict. Base spans always stay; an issued-credential shape
     is added as a span where it is live-looking.
 
     A null text is empty and has no spans; a null owner or repository counts as one of its own. Rows that repeat an id
@@ -64,11 +70,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = cands.select("secret", "owner", "repo").distinct().groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("secret").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
     verdicts = (
         cands.join(owners, "secret").groupBy("doc_id", "th")
-        .agg(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), (F.col("n_owners") <= max_owners).alias("live"))).alias("verdicts"))
+        .agg(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), (F.col("n_owners") <= max_owners).alias("live"), "n_owners", "n_repos")).alias("verdicts"))
         .select(F.col("doc_id").alias("v_id"), F.col("th").alias("v_th"), "verdicts")
     )
     out = found.join(verdicts, found["doc_id"].eqNullSafe(F.col("v_id")) & (found["th"] == F.col("v_th")), "left")
-    live = F.coalesce(F.filter("verdicts", lambda v: v["live"]), F.expr("cast(array() AS array<struct<start:int,kind:int,live:boolean>>)"))
+    verdicts = F.coalesce("verdicts", F.expr("cast(array() AS array<struct<start:int,kind:int,live:boolean,n_owners:bigint,n_repos:bigint>>)"))
+    live = F.filter(verdicts, lambda v: v["live"])
     keys = F.transform(live, lambda v: F.struct(v["start"], v["kind"]))
     n = len(BASE)
 
@@ -80,5 +87,5 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count = [F.size(F.filter("spans", of_kind(i))).cast("long").alias(f"n_{k[0]}") for i, k in enumerate(BASE)]
     return out.select(
         "doc_id", *count, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"),
-        F.size(live).cast("long").alias("n_live"), (F.size("spans") - F.size(live)).cast("long").alias("n_copied"),
+        F.size(live).cast("long").alias("n_live"), (F.size("spans") - F.size(live)).cast("long").alias("n_copied"), _counts(verdicts).alias("owners"),
     )
