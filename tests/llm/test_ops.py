@@ -185,6 +185,12 @@ def test_near_dedup(docs, rows, empty, spark, percent):
     same(near_dedup.near_dedup(spark.createDataFrame(more, "doc_id long, text string"), percent=percent), [(i, *want[i], i == want[i][1]) for i, _ in more], "doc_id n_shingles component_id kept")
 
 
+@pytest.mark.parametrize("percent", [50, 79, 101])
+def test_near_dedup_refuses_thresholds_that_its_bands_miss(docs, percent):
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.near_dedup(docs, percent=percent)
+
+
 def test_odd_sketches_estimate():
     r = np.random.default_rng(1)
     a = np.unique(bpe.slice_hashes(np.arange(4000, dtype=np.uint32), np.arange(3999), np.arange(1, 4000)))

@@ -13,8 +13,8 @@ from .bpe import groups
 from .io import bound_batches, map_batches, persisted, texts_of
 from .words import mix, shingle_sets
 
-#: A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8.
-BANDS, ROWS, SKETCH_BITS = 28, 5, 512
+#: A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8, but 0.006 at 0.7. So thresholds below LEAST_PERCENT are refused.
+BANDS, ROWS, SKETCH_BITS, LEAST_PERCENT = 28, 5, 512, 80
 #: Pairs whose sketches estimate a similarity below threshold - MARGIN (over five standard deviations) aren't confirmed on full sets.
 MARGIN = 0.18
 #: Ids of documents to confirm are broadcast up to this many, 2 MB; beyond, they are joined by shuffle.
@@ -201,8 +201,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     far apart. Every link is confirmed on full sets.
 
     Texts without words, null ones included, have an empty set and are linked with nothing. A null id has a null component and is kept. Rows that
-    repeat an id are one document. An empty table gives an empty result; other columns are ignored.
+    repeat an id are one document. An empty table gives an empty result; other columns are ignored. A ``percent`` outside LEAST_PERCENT to 100 is an error: the bands would lose pairs.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100, not {percent}")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     most = least_agreeing(percent / 100 - MARGIN)
     sig = persisted(signatures(docs, id_col, text_col, shingle))
