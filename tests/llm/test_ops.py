@@ -334,6 +334,22 @@ def test_quality_bands_by_script_and_tag(spark):
     assert len(passing) > 40 and [gone[k - len(kept)][0] for k in passing if got[k].kept] == []
 
 
+def test_quality_each_band_acts_on_planted_junk():
+    r = random.Random(2)
+    shuffled = lambda t: " ".join(r.choice(t.split()) for _ in range(80))
+    junk = {
+        "random bytes": (" ".join(r.randbytes(8).decode("latin-1") for _ in range(80)), {"chars_per_token", "chars_per_byte_token"}),
+        "random letters": (" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(12)) for _ in range(80)), {"chars_per_token", "chars_per_byte_token"}),
+        "repeated tokens": (shuffled("people house water little other where about great"), {"token_entropy"}),
+        "Greek tagged en": (shuffled(CLEAN["el"]), {"chars_per_token", "chars_per_byte_token"}),
+        "Amharic tagged en": (shuffled(CLEAN["am"]), {"chars_per_token", "chars_per_byte_token", "fallback_share"}),
+    }
+    m = quality.measure([t for t, _ in junk.values()], quality.words(P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken")))
+    for k, (name, (_, want)) in enumerate(junk.items()):
+        assert not (m["n_words"][k] < 50 or 100 * m["n_repeat_words"][k] > 50 * m["n_words"][k]), name
+        assert want <= {c for c, (a, b) in quality.BANDS["en"].items() if not a <= m[c][k] <= b}, name
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = collections.defaultdict(list)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
