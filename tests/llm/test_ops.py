@@ -360,7 +360,7 @@ def test_exact_dedup(docs, rows, empty):
     same(exact_dedup.exact_dedup(docs), want, "doc_id keep_id group_size kept text_sha256")
     from pyspark.sql import functions as F
 
-    same(exact_dedup.exact_dedup(docs, content_hash=lambda c: F.lit("00")), want, "doc_id keep_id group_size kept text_sha256")
+    same(exact_dedup.exact_dedup(docs, hashed_by=lambda c: F.lit("00")), want, "doc_id keep_id group_size kept text_sha256")
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 

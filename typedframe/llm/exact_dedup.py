@@ -5,33 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .io import Scratch
+
+#: Ids of rows whose hash recurs are broadcast up to this many, 16 MB of longs; beyond, they are joined by shuffle.
+MOST_BROADCAST = 1 << 20
+
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    """Each run of white space as one blank. The pattern passes over lone blanks, which stay as they are."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D][\x20\x09-\x0D]+|[\x09-\x0D]", " ")
+
 
+def content_hash(norm: Column) -> Column:
+    """128 bits of SHA-256, which is computed for the result anyway."""
+    return F.left(F.sha2(norm, 256), F.lit(32))
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash=F.md5) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed_by=content_hash) -> DataFrame:
     """Columns doc_id, keep_id, group_size, kept, text_sha256, a row for each input row.
 
-    Rows are grouped by a 128-bit hash of the normalised text together with that text, so a hash collision can't
-    merge two texts. Aggregation is partial before the shuffle: a text that a third of all rows share
-    crosses it once a task. Only ids and hashes go through the join back, whose hot keys AQE splits.
+    Texts are hashed once; ids and hashes go to a table, are grouped by hash, and only texts whose hash recurs are read again: their bytes are
+    compared by grouping on hash and text, partially before the shuffle, so a text that a third of all rows share crosses it
+    once a task. A hash whose group holds one text only tells its rows' class; for the others (collisions) rows find their class by the text itself. The hot keys of the
+    join back are split by AQE.
 
-    A null text is empty; empty texts are equal. A null id never is the smallest unless all ids of its group are null
+    A null text is empty; empty texts are equal. A text of any length is one value, never cut. A null id never is the smallest unless all ids of its group are null
     (then keep_id is null and kept true). Rows that repeat an id and its text are kept or dropped together
-    and count in group_size. An empty table gives an empty result; other columns are ignored.
+    and count in group_size; one id on several texts has a row a text. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.select("doc_id", "norm", F.unhex(content_hash("norm")).alias("h"))
-    sha = F.sha2(F.col("norm").cast("binary"), 256)
-    classes = (
-        rows.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", sha.alias("text_sha256"), "keep_id", "group_size")
-    )
-    ids = rows.select("doc_id", "h", sha.alias("text_sha256"))
-    return ids.join(classes, ["h", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    spark = docs.sparkSession
+    store = Scratch(spark)
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    rows = store.keep(texts.select("doc_id", F.unhex(hashed_by(F.col("norm"))).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
+    groups = store.keep(rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    ids = store.keep(rows.join(groups.select("h"), "h", "left_semi").select(F.col("doc_id").alias("again_id")).distinct())
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    again = docs.join(ids, F.col(id_col).eqNullSafe(F.col("again_id")), "left_semi").select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    again = again.select("doc_id", "norm", F.unhex(hashed_by(F.col("norm"))).alias("h"))
+    classes = again.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    compared = store.keep(classes.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")).where("group_size > 1 OR texts > 1"))
+    out = _verdicts(rows, compared.where("texts = 1"))
+    collided = compared.where("texts > 1").select("h")
+    if not collided.isEmpty():
+        whole = again.join(collided, "h", "left_semi")
+        by_bytes = whole.join(whole.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), ["h", "norm"])
+        by_bytes = by_bytes.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("norm", 256).alias("text_sha256"))
+        out = _verdicts(rows.join(collided, "h", "left_anti"), compared.where("texts = 1")).union(by_bytes)
+    return store.finish(out)
+
+
+def _verdicts(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows whose hash is in no group are a class of their own."""
+    found = rows.join(groups.select("h", "keep_id", "group_size"), "h", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 SQL = r"""

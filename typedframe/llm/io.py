@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Arrow batches towards Python stay this small, whatever the length of the texts.
+#: Python handles slices of an Arrow batch of at most so many rows, and of about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
@@ -18,29 +18,63 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); one is set where none is."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``). Where none is set, a local session gets one; a cluster is refused."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not conf:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="typedframe-")
         spark.sparkContext.setCheckpointDir(conf)
     return f"{conf.rstrip('/')}/tf-{uuid.uuid4().hex}"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+class Scratch:
+    """A folder of intermediate tables in the shared folder: rows written and read again cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.made = spark, shared_dir(spark), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result in a folder of its own; the intermediate tables are deleted."""
+        out = persisted(df)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, whatever the session's batch size."""
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(1, batch.nbytes)))
+        for at in range(0, n, step):
+            yield batch.slice(at, step)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str, arrow: pa.Schema) -> DataFrame:
     """``df.mapInArrow`` of a function from a batch to the columns of its result."""
-    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fn(batch), arrow, strict=True)], schema=arrow)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fn(batch), arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -48,10 +82,3 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """Null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

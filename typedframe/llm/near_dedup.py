@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .io import bound_batches, map_batches, persisted, texts_of
+from .io import map_batches, persisted, texts_of
 from .words import mix, shingle_sets
 
 #: A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8, but 0.006 at 0.7. So thresholds below LEAST_PERCENT are refused.
@@ -96,7 +96,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
     texts = narrowed(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    bound_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

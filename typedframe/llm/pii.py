@@ -10,7 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .io import bound_batches, map_batches, texts_of
+from .io import map_batches, slices, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds, after the base kinds.
@@ -140,10 +140,8 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     """The rows with their personal data replaced by kinds, and ``length_col`` set to the new length in code points. A null text stays null."""
     from pyspark.sql import functions as F
 
-    bound_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else redact(t) for t in batch.column(text_col).to_pylist()]
             yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
 

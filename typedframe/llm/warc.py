@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import bound_batches, shared_dir
+from .io import shared_dir, slices
 
 #: Fixed by the format: magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
@@ -90,7 +90,6 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20,
     at a time; its rows are sorted, so a retried task writes the same files, each moved into place when whole.
     """
     spark = pages.sparkSession
-    bound_batches(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
@@ -111,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20,
             store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "n_records": pa.array([len(held)], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 held.append(_record(*row))
                 size += len(held[-1])
@@ -135,7 +134,6 @@ def read_archives(spark, folder: str) -> DataFrame:
     A response's digest and length are computed anew from its payload, a revisit's come from its headers.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     number = lambda uri: int(x) if (x := uri.removeprefix("<urn:page:").removesuffix(">")) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
