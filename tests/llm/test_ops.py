@@ -412,6 +412,32 @@ def test_secrets_count_a_value_once_whatever_its_kind(spark):
     assert got == {0: (0, 2, "assign:0:2:3,hex:9:2:3"), 1: (0, 1, "hex:2:2:3"), 2: (0, 1, "hex:2:2:3"), 3: (1, 0, "assign:0:1:2"), 4: (1, 0, "assign:0:1:2"), 5: (0, 0, "")}
 
 
+def test_secrets_of_one_owner_in_many_repositories_are_examples(spark):
+    texts = [(k, "password=copied-around", "s0", f"r{k}") for k in range(5)] + [(9, "password=only-here", "s0", "r0")]
+    got = {r.doc_id: (r.n_live, r.owners) for r in secret_scan.secret_scan(spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")).collect()}
+    assert got == {k: (0, "assign:0:1:5") for k in range(5)} | {9: (1, "assign:0:1:1")}
+
+
+def test_secrets_added_spans_against_brute_force(docs, rows):
+    issued = re.compile(secret_scan.ISSUED[1])
+    owner = lambda k: [None, "s1", "s2"][k % 3]
+    lang = lambda k: [None, "en", "de", "xx"][k % 4]
+    rx = [(n, re.compile(p), g, least) for n, p, g, least in secret_scan.KINDS]
+    found = [[(m.start(), i, m.end(), m[g]) for i, (_, p, g, least) in enumerate(rx) for m in p.finditer(t or "") if len(m[g]) >= least] for _, t in rows]
+    owners, repos = collections.defaultdict(set), collections.defaultdict(set)
+    for k, spans in enumerate(found):
+        for *_, secret in spans:
+            owners[secret].add(owner(k))
+            repos[secret].add((owner(k), lang(k)))
+    want = []
+    for (i, _), spans in zip(rows, found):
+        live = [s for s in spans if len(owners[s[3]]) <= 1 and len(repos[s[3]]) <= 2]
+        shown = sorted(s for s in spans if s[1] < 3 or s in live)
+        want.append((i, ",".join(f"{rx[k][0]}:{a}:{b}" for a, k, b, _ in shown), len(live), len(spans) - len(live)))
+    assert any(issued.search(t or "") for _, t in rows)
+    same(secret_scan.secret_scan(docs), want, "doc_id spans n_live n_copied")
+
+
 def test_queries_are_named_and_run(spark):
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
     for name in ("op3_warc", "op5_packing", "op10_secrets"):

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op3_warc": warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_secrets": secret_scan.SQL}
