@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Python handles slices of an Arrow batch of at most so many rows, and of about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -41,6 +42,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``keep``, and the number of rows, found while they are written."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return kept, seen.get["n"]
+
     def finish(self, df: DataFrame) -> DataFrame:
         """The result in a folder of its own; the intermediate tables are deleted."""
         out = persisted(df)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import groups
-from .io import map_batches, persisted, texts_of
-from .words import mix, shingle_sets
+from .io import Scratch, map_batches, slices, texts_of
+from .words import listed, mix, shingle_sets, similar
 
 #: A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8, but 0.006 at 0.7. So thresholds below LEAST_PERCENT are refused.
 BANDS, ROWS, SKETCH_BITS, LEAST_PERCENT = 28, 5, 512, 80
@@ -19,8 +21,10 @@ BANDS, ROWS, SKETCH_BITS, LEAST_PERCENT = 28, 5, 512, 80
 MARGIN = 0.18
 #: Ids of documents to confirm are broadcast up to this many, 2 MB; beyond, they are joined by shuffle.
 MOST_BROADCAST = 1 << 18
-#: Members of a bucket are compared in blocks of about this many.
-BLOCK = 512
+#: Keys with HOT_ROWS rows and a share of 1 / MOST_HOT of all rows are dealt over SALTS; there are at most MOST_HOT such keys, whatever the data, so that their list may be broadcast.
+HOT_ROWS, MOST_HOT, SALTS = 256, 20_000, 64
+#: Members of a bucket are compared in blocks of about so many, and blocks in places of about so many rows.
+BLOCK, PLACE_ROWS = 512, 1 << 15
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -51,199 +55,213 @@ def least_agreeing(similarity: float, samples: int = BANDS * ROWS, bits: int = S
     return int(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity))))
 
 
+def _words_hash(words: list[bytes]) -> bytes:
+    """A text's class: 128 bits of SHA-256 over its words."""
+    return sha256(b" ".join(words)).digest()[:16]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Columns doc_id, n_shingles, set_hi, set_lo (a 128-bit hash of the set), bands and sketch (arrays of long)."""
+    """Columns doc_id, text_hash, n_shingles, cls (hash of the word sequence), bands and sketch (arrays of long)."""
 
     def rows(batch: pa.RecordBatch) -> list:
         texts = [t.encode().lower() for t in texts_of(batch, "text")]
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(4)]
         for a, b in groups(texts):
-            sets, at = shingle_sets(texts[a:b], shingle)
-            n = np.diff(at)
+            words, before = listed(texts[a:b])
+            sets, at, n = shingle_sets(words, before, shingle)
             full = np.flatnonzero(n)
-            cols = [np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64), [[]] * (b - a), [[]] * (b - a)]
+            cols: list[list] = [[_words_hash(words[p:q]) for p, q in zip(before[:-1].tolist(), before[1:].tolist())], [[]] * (b - a), [[]] * (b - a)]
             if len(full):
-                first = at[:-1][full]
-                for c, salt in ((0, 11), (1, 12)):
-                    cols[c][full] = np.add.reduceat(mix(sets + _seeds(1, salt)[0]), first)
-                samples = minhashes(sets, first, BANDS * ROWS)
+                samples = minhashes(sets, at[:-1][full], BANDS * ROWS)
                 keys = np.zeros((BANDS, len(full)), np.uint64)
                 for r in range(ROWS):
                     keys = mix(keys + samples[r::ROWS])
                 keys = mix(keys + _seeds(BANDS, 4)[:, None]).T.view(np.int64)
                 for i, k, s in zip(full.tolist(), keys, odd_sketches(samples).view(np.int64)):
-                    cols[2][i], cols[3][i] = k, s
-            for column, x in zip(out, (n, cols[0].view(np.int64), cols[1].view(np.int64), cols[2], cols[3])):
+                    cols[1][i], cols[2][i] = k, s
+            for column, x in zip(out, (n.tolist(), *cols)):
                 column.extend(x)
-        return [batch.column("doc_id"), *out]
+        return [batch.column("doc_id"), [sha256(t.encode()).digest() for t in texts_of(batch, "text")], *out]
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
-    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rows, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>", arrow)
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rows, "doc_id long, text_hash binary, n_shingles long, cls binary, bands array<long>, sketch array<long>", arrow)
 
 
 def _differing(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
 
 
-def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts with one of these ids; few ids are broadcast, so the other texts aren't moved."""
-    ids = persisted(ids.distinct())
-    return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """Of keys with their counts (n), those that a share of all rows has (hot_key), or None if there can't be any. They are at most MOST_HOT."""
+    least = max(HOT_ROWS, -(-total // MOST_HOT))
+    if total < least:
+        return None
+    found = [tuple(r) for r in counts.where(F.col("n") >= least).select(key).collect()]
+    return counts.sparkSession.createDataFrame(found, T.StructType([T.StructField("hot_key", counts.schema[key].dataType)])) if found else None
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """The inner join on ``key``; of a hot key, left rows are dealt over SALTS tasks and right rows are copied to each."""
+    if hot is None:
+        return left.join(right, key)
+    hot = F.broadcast(hot)
+    mine = left.join(hot, left[key] == hot["hot_key"], "left").withColumn("salt", F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))).drop("hot_key")
+    every = F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    theirs = right.join(hot, right[key] == hot["hot_key"], "left").withColumn("salt", F.explode(every)).drop("hot_key")
+    return mine.join(theirs, [key, "salt"]).drop("salt")
+
 
+def class_texts(docs: DataFrame, needed: DataFrame, few: bool) -> DataFrame:
+    """Columns cls, text: one text of each class in ``needed`` (cls, rep). Few ids are broadcast, so the other texts aren't moved."""
+    needed = needed.distinct()
+    ids = needed.select(F.col("rep").alias("rep_id")).distinct()
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            raws = [t.encode().lower() for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([_words_hash(r.split()) for r in raws], pa.binary()), pa.array(raws, pa.binary())], names=["cls", "text"])
+
+    found = texts.mapInArrow(run, "cls binary, text binary").join(needed.select("cls"), "cls", "left_semi")
+    return found.groupBy("cls").agg(F.min("text").alias("text"))  # rows may repeat an id, and null ids are many texts'
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union. A document's text is moved once a pair at most."""
-    texts = narrowed(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = full.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+def confirm(pairs: DataFrame, total: int, classes: DataFrame, docs: DataFrame, percent: int, shingle: int, store: Scratch) -> tuple[DataFrame, int]:
+    """Those of the ``total`` pairs (a, b) whose full sets have 100 * intersection >= percent * union, and how many. A text is moved once a pair at most; a class in many pairs is dealt out."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+    texts = store.keep(class_texts(docs, ends.join(classes.select("cls", "rep"), "cls"), 2 * total <= MOST_BROADCAST))
+    full = pairs
+    for end in "ba":
+        hot = hot_keys(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, total)
+        full = dealt_join(full, texts.select(F.col("cls").alias(end), F.col("text").alias(f"text_{end}")), end, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([t.encode().lower() for t in texts_of(batch, c)] for c in ("text_a", "text_b"))
-            keep = []
+        for batch in slices(batches):
+            left, right = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
+            keep = [np.zeros(0, bool)]
             for p, q in groups([x + y for x, y in zip(left, right)]):
-                (sa, ia), (sb, ib) = shingle_sets(left[p:q], shingle), shingle_sets(right[p:q], shingle)
-                for k in range(q - p):
-                    x, y = sa[ia[k] : ia[k + 1]], sb[ib[k] : ib[k + 1]]
-                    keep.append(bool(len(x) and len(y)) and _similar(x, y, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+                keep.append(similar([x.split() for x in left[p:q]], [x.split() for x in right[p:q]], percent, shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(np.concatenate(keep), pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    return full.mapInArrow(run, "a long, b long")
+    return store.counted(full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the edges (a, b), the component being the smallest id reachable.
+def components(edges: DataFrame, store: Scratch) -> DataFrame:
+    """(node, root) for each node of the edges (a, b), the root being the smallest node reachable.
 
-    Large-star and small-star steps by turns, each a group-by, each result written to the shared folder; rounds grow with the logarithm of
-    the longest path. Only a count reaches the driver.
+    Large-star and small-star steps by turns, each a group-by, each round one job whose result is written to the shared folder and whose rows are counted and summed
+    up on the way: it ends when nothing changes. Rounds grow with the logarithm of the longest path. Two numbers reach the driver a round.
     """
-    now = persisted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now, last = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        new = persisted(small)
-        if new.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(new, ["a", "b"], "left_anti").isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("component")).union(new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        now = new
-
+        seen = Observation()
+        now = store.keep(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")))
+        if (got := (seen.get["n"], seen.get["s"])) == last:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        last = got
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two ascending, non-empty sets have 100 * intersection >= percent * union."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = int(np.count_nonzero(y[at] == x))
-    return 100 * both >= percent * (len(x) + len(y) - both)
 
+def _bucket_pairs(members: DataFrame, rows: int, most: int) -> DataFrame:
+    """Pairs (a, b) of members (key, cls, root, sketch) of one bucket that are of different components and whose sketches agree.
 
-def _bucket_links(members: DataFrame, most: int, percent: int, shingle: int) -> DataFrame:
-    """Links (a, b), confirmed on full sets, that join the components of each bucket's members (key, rep, comp, bands, sketch, text).
-
-    Buckets are cut into blocks of about BLOCK members; two blocks meet in one place, where bitmaps and then sets are compared as arrays. Only links become rows, fewer
-    than components: pairs that a link has joined are skipped, and a pair is compared only in the first bucket that it shares.
+    Buckets are cut into blocks of about BLOCK members; two blocks meet in one place, as bitmaps without texts, and places hold about PLACE_ROWS rows whatever the data.
     """
-    spark = members.sparkSession
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "rep", "comp", "bands", "sketch", "text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows_of = dealt_join(members, sizes.select("key", "blocks"), "key", hot_keys(sizes, "key", rows))
+    rows_of = rows_of.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows_of = rows_of.select("key", "cls", "root", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    copies = int(sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0)
+    rows_of = rows_of.withColumn("place", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-copies // PLACE_ROWS)))))
 
     def compare(table: pa.Table) -> pa.Table:
         t = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")])
-        key, i, j, own, rep, comp = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "rep", "comp"))
-        sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(rep), -1)
-        bands = np.array(t.column("bands").to_pylist(), np.int64)
-        text, sets, root = t.column("text"), {}, {}
-
-        def full(k: int) -> np.ndarray:
-            if rep[k] not in sets:
-                sets[rep[k]] = shingle_sets([(text[k].as_py() or "").encode().lower()], shingle)[0]
-            return sets[rep[k]]
-
-        def find(c: int) -> int:
-            while (up := root.get(c, c)) != c:
-                root[c] = c = root.get(up, up)
-            return c
-
+        key, i, j, own = (t.column(c).to_numpy() for c in ("key", "i", "j", "own"))
+        root = np.array(t.column("root").to_pylist(), "S16")
+        root = np.unique(root, return_inverse=True)[1]
+        sketch = t.column("sketch").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(key), -1)
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-        found = []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for p, q in zip(cut[:-1].tolist(), cut[1:].tolist()):
             mid = q if i[p] == j[p] else p + int(np.searchsorted(own[p:q], j[p]))
             for x in range(p, mid):
                 first = x + 1 if i[p] == j[p] else mid
                 far = np.bitwise_count(sketch[first:q] ^ sketch[x]).sum(axis=1)
-                near = np.flatnonzero((far <= most) & (comp[first:q] != comp[x]))
-                if not len(near):
-                    continue
-                near = first + near[np.argsort(far[near], kind="stable")]
-                same = bands[near] == bands[x]
-                for y in near[bands[x][same.argmax(axis=1)] == key[p]].tolist():
-                    a, b = find(int(comp[x])), find(int(comp[y]))
-                    if a != b and _similar(full(x), full(y), percent):
-                        root[max(a, b)] = min(a, b)
-                        found.append((int(max(rep[x], rep[y])), int(min(rep[x], rep[y]))))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return rows.groupBy("place").applyInArrow(compare, "a long, b long").distinct()
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id, kept, a row for each input row.
-
-    Texts with equal shingle sets are one class from the start. Each class meets the smallest class of its buckets first, then the first of each bucket
-    that isn't in its component yet, and last, in blocks, all of its buckets' members in other components, with the texts at hand. So large groups of near copies collapse before anything
-    quadratic, and no pair of a bucket goes unexamined: pairs are left out only if one component holds them already or their sketches are
-    far apart. Every link is confirmed on full sets.
-
-    Texts without words, null ones included, have an empty set and are linked with nothing. A null id has a null component and is kept. Rows that
-    repeat an id are one document. An empty table gives an empty result; other columns are ignored. A ``percent`` outside LEAST_PERCENT to 100 is an error: the bands would lose pairs.
+                near = first + np.flatnonzero((far <= most) & (root[first:q] != root[x]))
+                left.append(np.full(len(near), x))
+                right.append(near)
+        cls = t.column("cls").combine_chunks()
+        a, b = cls.take(pa.array(np.concatenate(left))), cls.take(pa.array(np.concatenate(right)))
+        return pa.table({"a": a, "b": b})
+
+    pairs = rows_of.groupBy("place").applyInArrow(compare, "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, link_null_ids: bool = False, with_hash: bool = False) -> DataFrame:
+    """Columns doc_id, n_shingles, component_id, kept (and text_hash, SHA-256 of the text), a row for each input row.
+
+    Texts of equal words are one class from the start. Each class meets the smallest class of its buckets first, then the first of each bucket that isn't in its
+    star yet, and last, in blocks, all of its buckets' members in other components. So large groups of near copies collapse before anything quadratic, and no pair
+    of a bucket goes unexamined: pairs are left out only if one component holds them already or their sketches are far apart. Every link is confirmed on the words of the full sets. What
+    lies between is deleted when the result is written.
+
+    Texts without words, null ones included, have an empty set and are linked with nothing. A text of any length is one set, made whole. A null id has a null component and is
+    kept; with ``link_null_ids`` it takes part in links but never names a component, and where all ids are null, the rows of the smallest class by hash are kept. Rows that repeat an id are one document: its texts are
+    linked. Ties can't arise, components being sets. An empty table gives an empty result; other columns are ignored. A ``percent`` outside LEAST_PERCENT to 100 is an error: the bands would lose pairs.
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent must be from {LEAST_PERCENT} to 100, not {percent}")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    most = least_agreeing(percent / 100 - MARGIN)
-    sig = persisted(signatures(docs, id_col, text_col, shingle))
-    own = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = persisted(own.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
-    sketches = classes.select("rep", "sketch").dropDuplicates(["rep"])
-    spread = classes.select("rep", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
-    members = persisted(spread.join(shared, "key").select("key", "rep", "pivot"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        pairs = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        return persisted(pairs.where(_differing(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b"))
-
-    first = members.groupBy("rep").agg(F.min("pivot").alias("b")).where("rep <> b").select(F.col("rep").alias("a"), "b")
-    edges = persisted(confirm(near(first), texts, percent, shingle))
-    comps = persisted(components(edges))
-
-    def labelled() -> DataFrame:
-        """Members of buckets that more than one component shares."""
-        all_of = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = all_of.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        return persisted(all_of.join(mixed, "key"))
-
-    rest = labelled()
-    if not rest.isEmpty():
-        pivots = rest.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("p"))
-        pairs = near(rest.join(pivots, "key").where("comp <> p.comp").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct())
-        if not pairs.isEmpty():
-            edges = edges.union(persisted(confirm(pairs, texts, percent, shingle)))
-            comps = persisted(components(edges))
-            rest = labelled()
-    if not rest.isEmpty():
-        own_text = narrowed(texts, rest.select(F.col("rep").alias("doc_id"))).groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "rep")
-        found = persisted(_bucket_links(rest.join(classes.select("rep", "bands", "sketch"), "rep").join(own_text, "rep"), most, percent, shingle))
-        if not found.isEmpty():
-            comps = persisted(components(edges.union(found)))
-    links = own.select("doc_id", "set_hi", "set_lo").join(classes.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"])
-    links = links.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    links = links.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles").join(links, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    store, most = Scratch(docs.sparkSession), least_agreeing(percent / 100 - MARGIN)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sig = store.keep(signatures(texts, "doc_id", "text", shingle))
+    own = sig.where("n_shingles > 0") if link_null_ids else sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes, n_classes = store.counted(own.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    sketches = classes.select("cls", "sketch")
+    spread = classes.select("cls", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = store.keep(shared.join(sketches.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"))
+    hot = hot_keys(shared, "key", BANDS * n_classes)
+    members = store.keep(dealt_join(spread, shared.select("key", "pivot", "pivot_sketch"), "key", hot))
+
+    def near(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Of the pairs (cls, pivot, pivot_sketch) those whose sketches agree, as (a, b), and how many."""
+        pairs = pairs.join(sketches, "cls").where(_differing(F.col("sketch"), F.col("pivot_sketch")) <= most)
+        return store.counted(pairs.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
+
+    def confirmed(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
+        return confirm(pairs, n, classes, texts, percent, shingle, store) if n else (pairs, 0)
+
+    first = members.groupBy("cls").agg(F.min(F.struct("pivot", "pivot_sketch")).alias("p")).select("cls", "p.*").where("cls <> pivot")
+    edges, _ = confirmed(*near(first))
+    star = edges.select(F.col("a").alias("cls"), F.col("b").alias("root"))
+    labelled = members.select("key", "cls").join(star, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    pivots = shared.join(star.select(F.col("cls").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").select("key", "pivot", "pivot_sketch", F.coalesce("pivot_root", "pivot").alias("pivot_root"))
+    pairs = dealt_join(labelled, pivots, "key", hot).where("root <> pivot_root AND cls <> pivot").select("cls", "pivot", "pivot_sketch")
+    edges = edges.union(confirmed(*near(pairs))[0])
+    of_id = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("last")).where("b <> last")
+    edges = edges.union(own.join(of_id, "doc_id").select(F.col("cls").alias("a"), "b").where("a <> b"))
+    roots = components(edges, store)
+
+    labelled = members.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest, n = store.counted(dealt_join(labelled, mixed, "key", hot).join(sketches, "cls"))
+    found, n = confirmed(*store.counted(_bucket_pairs(rest, n, most))) if n else (rest, 0)
+    if n:  # links between components, by their roots
+        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
+        found = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        top = components(found, store).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        joined = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = joined.union(top.join(roots, top["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
+    linked = roots.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
+    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select("cls", "root", "least")
+    out = sig.drop("bands", "sketch").join(classes.select("cls", "rep"), "cls", "left").join(linked, "cls", "left")
+    alone = (F.col("n_shingles") == 0) if link_null_ids else (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")))
+    named = F.when(F.col("component_id").isNull(), F.coalesce("root", "cls") == F.col("cls")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = out.withColumn("kept", F.when(alone, True).otherwise(named))
+    return store.finish(out.select("doc_id", "n_shingles", "component_id", "kept", *["text_hash"] * with_hash))

@@ -1,15 +1,19 @@
-"""Words and shingles of many texts at once, as arrays of hashes."""
+"""Words and shingles of many texts at once, as arrays. Hashes only sort things into groups; numbers, one for each distinct word's bytes, decide."""
 
 from __future__ import annotations
 
-import numpy as np
+from functools import cache
+from hashlib import blake2b
+from operator import itemgetter
 
-from .bpe import slice_hashes
+import numpy as np
 
 #: Bytes that separate words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Key of the words' hash, which is no polynomial: words can't be made to collide by their pattern.
+WORD_KEY = b"typedframe words"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,6 +22,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Numbers(dict):
+    """Number of each distinct word (bytes), given out in the order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(words) < 2:
+            return np.array([self[w] for w in words], np.int64)
+        return np.array(itemgetter(*words)(self), np.int64)
+
+
+class Hashes(Numbers):
+    """Numbers with a 64-bit hash each, found once a word. Forgets its words when there are too many, so numbers hold for one call."""
+
+    def __init__(self, most: int = 1 << 20):
+        super().__init__()
+        self.most, self.fresh, self.hash = most, [], np.zeros(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(blake2b(word, digest_size=8, key=WORD_KEY).digest())
+        return super().__missing__(word)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+            self.hash = np.zeros(0, np.uint64)
+        out = super().of(words)
+        if self.fresh:
+            self.hash = np.concatenate([self.hash, np.frombuffer(b"".join(self.fresh), np.uint64)])
+            self.fresh = []
+        return out
+
+
+@cache
+def hashes() -> Hashes:
+    """One for each Python worker."""
+    return Hashes()
+
+
 def split(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, a blank after each; word starts and ends in them; number of words before each text (one more than texts)."""
     data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
@@ -28,9 +73,18 @@ def split(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, starts, ends, np.searchsorted(starts, begin)
 
 
+def listed(raws: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All words in order, and how many come before each text (one more than texts)."""
+    per_text = [r.split() for r in raws]  # bytes.split parts at 0x20 and 0x09-0x0D, nothing else
+    before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, per_text), np.int64, len(raws)))])
+    return [w for words in per_text for w in words], before
+
+
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data, starts, ends, before = split(raws)
-    return slice_hashes(data, starts, ends), before
+    words, before = listed(raws)
+    table = hashes()
+    number = table.of(words)
+    return table.hash[number], before
 
 
 def windows(words: np.ndarray, n: int) -> np.ndarray:
@@ -44,33 +98,66 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(raws: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, ascending, and where each text's begin (one more than texts).
+def exact_windows(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of ``n`` consecutive numbers, equal for equal runs only."""
+    if len(numbers) < n:
+        return np.zeros(0, np.int64)
+    own = np.unique(numbers, return_inverse=True)[1].astype(np.int64)
+    base, code = int(own.max()) + 1, own
+    for k in range(1, n):
+        code = np.unique(code[: len(own) - k] * base + own[k:], return_inverse=True)[1].astype(np.int64)
+    return code
+
 
-    With fewer than ``n`` words the whole sequence is one shingle; a text without words has none.
-    """
-    words, before = word_hashes(raws)
-    every = windows(words, n)
+def placed(before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the shingles of each text: its text, first word and number of words. With fewer than ``n`` words the whole sequence is one; a text without words has none."""
     counts = np.diff(before)
-    full = np.maximum(counts - n + 1, 0)
-    short = np.flatnonzero((counts > 0) & (counts < n))
-    size = full.copy()
-    size[short] = 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    doc = np.repeat(np.arange(len(raws)), size)
-    out = np.zeros(at[-1], np.uint64)
-    long = np.flatnonzero(full)
-    if len(long):
-        places = np.repeat(before[long] - at[long], full[long]) + np.flatnonzero(np.repeat(full > 0, size))
-        out[np.repeat(full > 0, size)] = every[places]
-    for i in short.tolist():
-        h = np.uint64(counts[i])
-        with np.errstate(over="ignore"):
-            for w in words[before[i] : before[i + 1]]:
-                h = mix(np.array([h + w + np.uint64(99)]))[0]
-        out[at[i]] = h
+    size = np.where(counts >= n, counts - n + 1, (counts > 0).astype(np.int64))
+    doc = np.repeat(np.arange(len(counts)), size)
+    inside = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    return doc, before[:-1][doc] + inside, np.minimum(counts, n)[doc]
+
+
+def shingle_sets(words: list[bytes], before: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text of ``listed``, ascending; where each text's begin (one more than texts); the exact number of its distinct shingles, told apart by their words."""
+    table = hashes()
+    number = table.of(words)
+    word = table.hash[number]
+    doc, first, length = placed(before, n)
+    out = np.zeros(len(doc), np.uint64)
+    for k in range(n):
+        has = slice(None) if not len(length) or int(length.min()) > k else length > k
+        out[has] = mix(out[has] + word[first[has] + k] + np.uint64(k + 1))
     order = np.lexsort((out, doc))
-    out, doc = out[order], doc[order]
+    out, doc, first, length = out[order], doc[order], first[order], length[order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
-    return out[new], np.searchsorted(doc[new], np.arange(len(raws) + 1))
+    at = np.searchsorted(doc[new], np.arange(len(before)))
+    sizes = np.diff(at)
+    again = np.flatnonzero(~new)
+    differ = np.zeros(len(again), bool)
+    for k in range(n):
+        has = length[again] > k
+        differ[has] |= number[first[again[has]] + k] != number[first[again[has] - 1] + k]
+    for i in np.unique(doc[again[differ]]).tolist():  # a hash stands for several shingles
+        sizes[i] = len({tuple(number[p : p + m].tolist()) for p, m in zip(first[doc == i].tolist(), length[doc == i].tolist())})
+    return out[new], at, sizes
+
+
+def similar(left: list[list[bytes]], right: list[list[bytes]], percent: int, n: int = 5) -> np.ndarray:
+    """Whether each pair's shingle sets have 100 * intersection >= percent * union, both non-empty; shingles are compared by their words' bytes."""
+    words = [w for text in left + right for w in text]
+    before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, left + right), np.int64, 2 * len(left)))])
+    number = Numbers().of(words)
+    doc, first, length = placed(before, n)
+    padded = np.concatenate([number, np.zeros(n, np.int64)]) + 1
+    code = np.zeros(len(doc), np.int64)
+    for k in range(n):  # words behind the end of a short text count as 0
+        unit = np.where(length > k, padded[first + k], 0)
+        code = np.unique(code * (len(number) + 2) + unit, return_inverse=True)[1].astype(np.int64)
+    n_pairs, total = max(1, len(left)), int(code.max()) + 1 if len(code) else 1
+    key = np.unique((doc % n_pairs * total + code) * 2 + doc // n_pairs)
+    pair, side = key // 2 // total, key & 1
+    both = np.bincount(pair[1:][key[1:] >> 1 == key[:-1] >> 1], minlength=len(left))
+    sizes = np.stack([np.bincount(pair[side == s], minlength=len(left)) for s in (0, 1)])
+    return (sizes.min(axis=0) > 0) & (100 * both >= percent * (sizes.sum(axis=0) - both))
