@@ -5,16 +5,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import BASE, Encoder, encoder, groups, slice_hashes
-from .io import map_batches, texts_of
-from .words import _SPACE, windows
+from .bpe import encoder, groups
+from .io import map_batches, slices, texts_of
+from .words import _SPACE, Numbers, exact_windows
 
 SYMBOLS = "#*$%&|<>"
 
@@ -69,24 +70,19 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.number = Numbers()
         self.ids, self.count, self.byte_count, self.fallback = (np.zeros(0, np.int32) for _ in range(4))
+        self.first = np.zeros(0, np.int64)
 
-    def numbers(self, joined: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.known) > self.most:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, told apart by its bytes; the models see each distinct new word once."""
+        if len(self.number) > self.most:
             self.forget()
-        distinct, example, which = np.unique(slice_hashes(cp, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        inside = at < len(self.known)
-        old = np.zeros(len(distinct), bool)
-        old[inside] = self.known[at[inside]] == distinct[inside]
-        number = np.empty(len(distinct), np.int64)
-        number[old] = self.number[at[old]]
-        fresh = np.flatnonzero(~old)
-        if len(fresh):
-            number[fresh] = len(self.count) + np.arange(len(fresh))
-            words = [joined[a:b] for a, b in zip(starts[example[fresh]].tolist(), ends[example[fresh]].tolist())]
-            ids = self.model.encode(words, num_threads=1)
+        known = len(self.number)
+        out = self.number.of(words)
+        if len(self.number) > known:
+            fresh = [w.decode() for w in islice(self.number, known, None)]
+            ids = self.model.encode(fresh, num_threads=1)
             count = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))
             fallen = np.concatenate([[0], np.cumsum(self.byte_piece[flat])])
@@ -94,10 +90,9 @@ class Words:
             self.ids = np.concatenate([self.ids, flat])
             self.count = np.concatenate([self.count, count])
             self.fallback = np.concatenate([self.fallback, (fallen[end] - fallen[end - count]).astype(np.int32)])
-            self.byte_count = np.concatenate([self.byte_count, np.diff(self.bytes.encode([" " + w for w in words])[1]).astype(np.int32)])
+            self.byte_count = np.concatenate([self.byte_count, np.diff(self.bytes.encode([" " + w for w in fresh])[1]).astype(np.int32)])
             self.first = np.cumsum(self.count, dtype=np.int64) - self.count
-            self.known, self.number = np.insert(self.known, at[fresh], distinct[fresh]), np.insert(self.number, at[fresh], number[fresh])
-        return number[which]
+        return out
 
 
 @cache
@@ -165,28 +160,26 @@ def dup_lines(text: str) -> int:
 
 def measure(texts: list[str], known: Words) -> dict[str, np.ndarray]:
     joined = " ".join(texts) + " "
+    raw = joined.encode()
     cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     low = np.minimum(cp, 255)
     space = _SPACE[low] & (cp < 128)
     symbol = np.zeros(256, bool)
     symbol[[ord(c) for c in SYMBOLS]] = True
     begin = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     before = np.searchsorted(starts, begin)
     out = {"n_words": np.diff(before), "word_chars": _sums(~space, begin), "n_symbols": _sums(symbol[low] & (cp < 128), begin), "n_dup_lines": np.array([dup_lines(t) for t in texts], np.int64)}
     doc = np.repeat(np.arange(len(texts)), out["n_words"])
+    number = known.numbers(raw.split())  # bytes are split at the same white space as above
     repeated = np.zeros(len(starts), bool)
-    if len(starts):
-        number = known.numbers(joined, cp, starts, ends)
-        three = windows(number.astype(np.uint64), 3) + doc[: max(0, len(doc) - 2)].astype(np.uint64) * np.uint64(BASE)
-        whole = np.flatnonzero(doc[2:] == doc[:-2])
-        _, inverse, n = np.unique(three[whole], return_inverse=True, return_counts=True)
+    whole = np.flatnonzero(doc[2:] == doc[:-2])
+    if len(whole):
+        three = exact_windows(number, 3)[whole] * len(texts) + doc[whole]
+        _, inverse, n = np.unique(three, return_inverse=True, return_counts=True)
         twice = whole[n[inverse] > 1]
         for k in range(3):
             repeated[twice + k] = True
-    else:
-        number = np.zeros(0, np.int64)
     out["n_repeat_words"] = _sums(repeated, before)
     count = known.count[number].astype(np.int64)
     tokens, fallback, byte_tokens = _sums(count, before), _sums(known.fallback[number], before), _sums(known.byte_count[number], before)
@@ -201,6 +194,19 @@ def measure(texts: list[str], known: Words) -> dict[str, np.ndarray]:
     return out
 
 
+def judged(texts: list[str], langs: list[str | None], known: Words, bands: Mapping[str, Mapping[str, tuple[float, float]]], chars: int) -> dict[str, np.ndarray]:
+    """Counts, measures and verdicts of some texts, about ``chars`` characters at a time."""
+    parts = [measure(texts[a:b], known) for a, b in groups(texts, chars)]
+    m = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    kept = ~failed
+    for i in np.flatnonzero(~failed).tolist():
+        for k, (least, most) in bands[band_of(langs[i], texts[i], bands)].items():
+            if not least <= m[k][i] <= most and (k != "token_entropy" or m["n_tokens"][i] >= 50):
+                kept[i] = False
+    return m | {"base_failed": failed, "kept": kept}
+
+
 _COLUMNS = [("doc_id", "long"), *[(c, "long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", "boolean"), ("kept", "boolean"), ("n_tokens", "long"), *[(c, "double") for c in METRICS]]
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
@@ -211,24 +217,25 @@ def quality_rules(docs: DataFrame, piece_path: str, byte_path: str, id_col: str
     Words are encoded one by one with a blank before them, each distinct word once a worker: characters a token under both vocabularies, the share
     of byte pieces and the entropy of the token counts. A document that passes the base rules is kept if every measure lies in its language's or script's band.
 
-    A null or empty text has no words and fails the base rules. A tag's case and region don't count. A null language is told by
+    A null or empty text has no words and fails the base rules. A text longer than ``chars`` is measured alone and whole. A tag's case and region don't count. A null language is told by
     common words or letters, or else has the bands of the text's dominant script, as a language without bands does. Null ids and repeated rows pass
     through; an empty table gives an empty result; other columns are ignored. No shuffle.
     """
 
     def rows(batch: pa.RecordBatch) -> list:
-        texts, langs = texts_of(batch, "text"), batch.column("lang").to_pylist()
-        known = words(piece_path, byte_path)
-        parts = [measure(texts[a:b], known) for a, b in groups(texts, chars)]
-        m = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-        kept = ~failed
-        for i in np.flatnonzero(~failed).tolist():
-            for k, (least, most) in bands[band_of(langs[i], texts[i], bands)].items():
-                if not least <= m[k][i] <= most and (k != "token_entropy" or m["n_tokens"][i] >= 50):
-                    kept[i] = False
-        m |= {"base_failed": failed, "kept": kept}
+        m = judged(texts_of(batch, "text"), batch.column("lang").to_pylist(), words(piece_path, byte_path), bands, chars)
         return [batch.column("doc_id"), *[m[c] for c, _ in _COLUMNS[1:]]]
 
     picked = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text", f"cast(`{lang_col}` AS string) AS lang")
     return map_batches(picked, rows, ", ".join(f"{c} {t}" for c, t in _COLUMNS), pa.schema([(c, _ARROW[t]) for c, t in _COLUMNS]))
+
+
+def kept_rows(docs: DataFrame, piece_path: str, byte_path: str, text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS, chars: int = 1 << 20) -> DataFrame:
+    """The rows that the rules keep, each judged where it is: no join, no shuffle, ids don't matter. Nulls and empty texts as in ``quality_rules``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            m = judged(texts_of(batch, text_col), [None if x is None else str(x) for x in batch.column(lang_col).to_pylist()], words(piece_path, byte_path), bands, chars)
+            yield batch.filter(pa.array(m["kept"], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
