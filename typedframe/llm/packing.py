@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import bisect
+import json
+import re
 import zlib
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, groups
+from .bpe import Encoder, encoder, groups
 from .io import map_batches, texts_of
 
 
@@ -45,46 +47,55 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, places
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and place of each item, longest first, each in the fullest bin that has room."""
-    gaps: list[tuple[int, int]] = []
-    bins, places, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        s = int(lengths[i])
-        k = bisect.bisect_left(gaps, (s, -1))
-        if k < len(gaps):
-            g, b = gaps.pop(k)
-        else:
-            g, b, made = capacity, made, made + 1
-        bins[i], places[i] = b, capacity - g
-        bisect.insort(gaps, (g - s, b))
-    return bins, places
-
-
-def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of squares; the bins that it leaves open at the end are emptied and filled again by best fit: few on mixed lengths, most where few lengths fill a bin together."""
+def pack_lengths(lengths: np.ndarray, capacity: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of squares in the order given; then the bins that it leaves open are emptied and their items placed by the same rule, longest first, as often as that saves a bin, ``rounds`` times at most."""
     bins, places = sum_of_squares(lengths, capacity)
-    filled = np.bincount(bins, lengths, 0)
-    again = np.flatnonzero(filled[bins] < capacity)
-    if len(again):
-        new, place = best_fit(lengths[again], capacity)
-        places[again] = place
-        bins[again] = new + len(filled)
+    for _ in range(rounds):
+        filled = np.bincount(bins, lengths, 0)
+        again = np.flatnonzero(filled[bins] < capacity)
+        items = again[np.argsort(-lengths[again], kind="stable")]
+        new, place = sum_of_squares(lengths[items], capacity)
+        if not len(items) or new.max() + 1 >= np.count_nonzero((filled < capacity) & (filled > 0)):
+            break
+        bins[items], places[items] = new + len(filled), place
     return np.unique(bins, return_inverse=True)[1], places
 
 
-def pieces(docs: DataFrame, ranks_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def special_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizer file's library takes out of a text before it splits it, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def token_bytes(enc: Encoder, texts: list[str], special: Mapping[str, int]) -> list[bytes]:
+    """Each text's ids, little-endian. A special string is its id, and what lies between two is encoded by itself."""
+    rx = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    cut = [rx.split(t) if rx else [t] for t in texts]
+    ids, at = enc.encode([x for parts in cut for x in parts[::2]])
+    raw, at, out, k = ids.astype("<u4").tobytes(), at.tolist(), [], 0
+    for parts in cut:
+        whole = []
+        for i, x in enumerate(parts):
+            if i % 2:
+                whole.append(special[x].to_bytes(4, "little"))
+            else:
+                whole.append(raw[4 * at[k] : 4 * at[k + 1]])
+                k += 1
+        out.append(b"".join(whole))
+    return out
+
+
+def pieces(docs: DataFrame, ranks_path: str, end_id: int, capacity: int, special: Mapping[str, int], id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Columns doc_id, piece, start, length, ids_crc32 (and ids): each document's tokens and an end id, cut from the back into pieces of ``capacity``."""
 
     def rows(batch: pa.RecordBatch) -> list:
         texts, enc, doc_ids = texts_of(batch, "text"), encoder(ranks_path), batch.column("doc_id").to_pylist()
         out: list[list] = [[] for _ in range(5 + with_ids)]
+        tail = int(end_id).to_bytes(4, "little")
         for a, b in groups(texts):
-            ids, at = enc.encode(texts[a:b])
-            raw, tail = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
-            for k, (p, q) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                whole = raw[4 * p : 4 * q] + tail
-                n, start, piece = q - p + 1, 0, 0
+            for k, whole in enumerate(token_bytes(enc, texts[a:b], special)):
+                whole += tail
+                n, start, piece = len(whole) // 4, 0, 0
                 stop = (n - 1) % capacity + 1
                 while start < n:
                     part = whole[4 * start : 4 * stop]
@@ -98,18 +109,18 @@ def pieces(docs: DataFrame, ranks_path: str, end_id: int, capacity: int, id_col:
     return map_batches(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), rows, ddl, pa.schema(fields))
 
 
-def pack(docs: DataFrame, ranks_path: str, end_id: int = 2, capacity: int = 1024, shard_docs: int = 100_000, with_ids: bool = False, **columns: str) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, end_id: int = 2, capacity: int = 1024, shard_docs: int = 100_000, with_ids: bool = False, special: Mapping[str, int] | None = None, **columns: str) -> DataFrame:
     """The pieces of every document with sequence_id and offset.
 
     Pieces are dealt out by hash to shards of about ``shard_docs`` documents each; a shard takes its pieces in the order of their checksums and packs them by the sum-of-squares
-    rule, so a task's work is bounded whatever the corpus; the sequences left open at its end are packed anew by best fit. Only lengths are needed: token ids stay out of the shuffle
-    unless asked for.
+    rule, so a task's work is bounded whatever the corpus; what is in sequences left open at its end is placed again by the same rule, longest first. Only lengths are needed: token ids stay out of the shuffle
+    unless asked for. ``special`` has strings that stand for one id each wherever they are in a text; without it they are ordinary text.
 
-    A null or empty text is its end id alone. Null ids and repeated rows are packed like others; an empty table gives an empty result; other
+    A null or empty text is its end id alone. A very long text is encoded whole, then cut. Null ids and repeated rows are packed like others; an empty table gives an empty result; other
     columns are ignored.
     """
     shards = max(1, round(docs.count() / shard_docs))
-    cut = pieces(docs, ranks_path, end_id, capacity, with_ids=with_ids, **columns)
+    cut = pieces(docs, ranks_path, end_id, capacity, special or {}, with_ids=with_ids, **columns)
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
 
     def fill(table: pa.Table) -> pa.Table:

@@ -28,7 +28,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))  # as the library takes them unless told otherwise
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), special=special)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
