@@ -3,45 +3,82 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .exchange import CHUNK_BYTES, HOT_CHUNKS, Anchors, by_place, cover, find_anchors, repeated_intervals, split_hot
-from .words import mix, split, windows, word_hashes
+from .exchange import CHUNK_BYTES, HOT_CHUNKS, HOT_ENTRIES, Anchors, Chunk, by_place, cover, find_anchors, repeated_intervals
+from .words import Numbers, listed, split, windows, word_hashes
 
 #: Words that anchor a window of 20.
 GRAM_SHARE = 0.3
 
 
-class WaveletMatrix:
-    """Rank over a sequence of small integers: a level for each bit, each a packed bitmap with counts before each word of it."""
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each symbol's code, by its share: within one bit of the entropy."""
+    return np.maximum(1, np.ceil(np.log2(counts.sum() / np.maximum(counts, 1)))).astype(np.int64)
 
-    def __init__(self, values: np.ndarray, bits: int):
-        self.bits, self.levels, self.zeros = bits, [], []
-        for b in range(bits - 1, -1, -1):
-            one = ((values >> b) & 1).astype(bool)
+
+class WaveletTree:
+    """Rank over a sequence of small integers, compressed to about its entropy: frequent symbols have short codes and leave the tree early.
+
+    A level is one packed bitmap, the nodes side by side, with counts before each of its words; a symbol's way down is known from its code.
+    """
+
+    def __init__(self, values: np.ndarray, symbols: int):
+        counts = np.bincount(values, minlength=symbols)
+        self.length = np.where(counts > 0, code_lengths(counts), 0)
+        depth = int(self.length.max()) if symbols else 0
+        order = np.lexsort((np.arange(symbols), self.length))
+        order = order[self.length[order] > 0]
+        size = np.int64(1) << (depth - self.length[order])
+        self.code = np.zeros(symbols, np.int64)
+        self.code[order] = (np.cumsum(size) - size) >> (depth - self.length[order])
+        self.levels = []
+        for k in range(depth):
+            values = values[self.length[values] > k]
+            node = self.code[values] >> (self.length[values] - k)  # ascending: nodes lie side by side
+            one = (self.code[values] >> (self.length[values] - k - 1)) & 1 == 1
             packed = np.packbits(one, bitorder="little")
             packed = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))[:-1]])
-            self.levels.append((packed, before.astype(np.int32)))
-            self.zeros.append(int(len(values) - one.sum()))
-            values = np.concatenate([values[~one], values[one]])
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)[:-1]]).astype(np.int32)
+            begin = np.searchsorted(node, np.where(self.length > k, self.code >> np.maximum(self.length - k, 0), 0)).astype(np.int32)
+            ones = np.concatenate([[0], np.cumsum(one)])
+            self.levels.append((packed, before, begin, ones[begin].astype(np.int32)))
+            # next level: in each node the zeros, then the ones
+            cut = np.flatnonzero(np.diff(node, prepend=-1))
+            first = np.repeat(cut, np.diff(np.append(cut, len(node))))
+            last = np.repeat(np.append(cut[1:], len(node)), np.diff(np.append(cut, len(node))))
+            ones_here, zeros_in = ones[:-1] - ones[first], (last - first) - (ones[last] - ones[first])
+            to = first + np.where(one, zeros_in + ones_here, np.arange(len(node)) - first - ones_here)
+            moved = np.empty_like(values)
+            moved[to] = values
+            values = moved
+
+    def bits(self) -> int:
+        return sum(64 * len(packed) for packed, *_ in self.levels)
 
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How many of ``symbols`` lie before each place, plus where that symbol's run begins in the last level (equal for equal symbols)."""
-        for k, (packed, before) in enumerate(self.levels):
-            word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            bit = (symbols >> (self.bits - 1 - k)) & 1
-            at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
+        """How many of ``symbols`` lie before each place."""
+        at, length, code = at.copy(), self.length[symbols], self.code[symbols]
+        at[length == 0] = 0
+        for k, (packed, before, begin, ones_at) in enumerate(self.levels):
+            live = np.flatnonzero(length > k)
+            if not len(live):
+                break
+            s = symbols[live]
+            p = at[live] + begin[s]
+            word = p >> 6
+            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1))) - ones_at[s]
+            at[live] = np.where((code[live] >> (length[live] - k - 1)) & 1 == 1, ones, at[live] - ones)
         return at
 
 
 class FMIndex:
-    """Index of a text of integers from 1 on (0 ends a segment), right for patterns of up to ``depth`` symbols."""
+    """Compressed index of a text of integers from 1 on (0 ends a segment), right for patterns of up to ``depth`` symbols. The suffix array isn't kept."""
 
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)
@@ -58,52 +95,42 @@ class FMIndex:
             h *= 2
             if h >= depth or step.all():
                 break
-        self.suffixes = order
-        last = np.where(order > 0, text[order - 1], 0)
-        bits = max(1, int(text.max()).bit_length())
-        self.tree = WaveletMatrix(last, bits)
-        self.first = np.searchsorted(np.sort(text), np.arange(int(text.max()) + 2))
-        begin = np.sort(_reversed_bits(last, bits))
-        self.run = np.searchsorted(begin, _reversed_bits(np.arange(int(text.max()) + 1), bits))
+        symbols = int(text.max()) + 1
+        self.tree = WaveletTree(np.where(order > 0, text[order - 1], 0), symbols)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
 
     def step(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of suffixes that begin with the symbol and go on as those of [low, high)."""
-        base = self.first[symbols] - self.run[symbols]
-        return base + self.tree.rank(symbols, low), base + self.tree.rank(symbols, high)
+        return self.first[symbols] + self.tree.rank(symbols, low), self.first[symbols] + self.tree.rank(symbols, high)
 
 
-def _reversed_bits(x: np.ndarray, bits: int) -> np.ndarray:
-    """Order of symbols in the last level of the tree: by the last bit first."""
-    out = np.zeros(len(x), np.int64)
-    for b in range(bits):
-        out |= ((x >> b) & 1).astype(np.int64) << (bits - 1 - b)
-    return out
-
-
-def repeated_windows(text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those windows (numbers in ``starts``) that the text holds more than once, and the begin of each one's interval: equal for equal windows.
-
-    Backward search, a symbol a step, of all windows in lockstep: the matching statistic of a place is at least ``window`` where it ends with more than
-    one suffix. A window whose interval shrinks to its own suffix leaves.
-    """
-    index = FMIndex(text, window)
-    live = np.arange(len(starts))
-    symbols = text[starts + window - 1]
+def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in ``ends`` of a streamed text: the length, up to ``most``, of the longest string ending there that the indexed text holds more than once, and where its
+    interval begins (equal for equal strings of ``most``). Backward search in lockstep, a symbol a step; a place leaves when its interval holds one suffix."""
+    length, begin = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+    live, symbols = np.arange(len(ends)), text[ends]
     low, high = index.first[symbols], index.first[symbols + 1]
-    for k in range(window - 2, -1, -1):
+    for k in range(1, most + 1):
         more = high - low > 1
         live, low, high = live[more], low[more], high[more]
-        if not len(live):
+        length[live], begin[live] = k, low
+        if k == most or not len(live):
             break
-        low, high = index.step(text[starts[live] + k], low, high)
-    more = high - low > 1
-    return live[more], low[more]
+        low, high = index.step(text[ends[live] - k], low, high)
+    return length, begin
+
 
+def repeated_windows(text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those windows (numbers in ``starts``) that the text holds more than once, and the begin of each one's interval: their matching statistics reach the threshold."""
+    length, begin = matching_statistics(FMIndex(text, window), text, starts + window - 1, window)
+    found = np.flatnonzero(length == window)
+    return found, begin[found]
 
-def write_segments(segments: dict[bytes, list[tuple[int, int, int]]], order: list[bytes], doc_key: list[tuple[bool, int]]) -> bytes:
+
+def write_segments(segments: dict[bytes, list[tuple[int, int, int]]], order: list[bytes], doc_key: np.ndarray) -> bytes:
     """Distinct segments with the number of their windows, where they occur (doc, word) and the sort key of the first's document."""
     head = np.array([(len(s), segments[s][0][2], len(segments[s])) for s in order], np.int64).reshape(-1, 3)
-    first = np.array([(doc_key[segments[s][0][0]][0], doc_key[segments[s][0][0]][1]) for s in order], np.int64).reshape(-1, 2)
+    first = doc_key[[segments[s][0][0] for s in order]]
     places = np.array([(d, w) for s in order for d, w, _ in segments[s]], np.int32).reshape(-1, 2)
     return zstandard.ZstdCompressor(level=3).compress(np.int64(len(order)).tobytes() + head.tobytes() + first.tobytes() + places.tobytes() + b"".join(order))
 
@@ -112,10 +139,10 @@ def read_segments(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     body = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(body, np.int64, 1)[0])
     head = np.frombuffer(body, np.int64, 3 * n, 8).reshape(n, 3)
-    first = np.frombuffer(body, np.int64, 2 * n, 8 + 24 * n).reshape(n, 2)
+    first = np.frombuffer(body, np.int64, 3 * n, 8 + 24 * n).reshape(n, 3)
     m = int(head[:, 2].sum())
-    places = np.frombuffer(body, np.int32, 2 * m, 8 + 40 * n).reshape(m, 2)
-    at = 8 + 40 * n + 8 * m
+    places = np.frombuffer(body, np.int32, 2 * m, 8 + 48 * n).reshape(m, 2)
+    at = 8 + 48 * n + 8 * m
     ends = (at + np.cumsum(head[:, 0])).tolist()
     return head, first, places, [body[a:b] for a, b in zip([at, *ends[:-1]], ends)]
 
@@ -137,12 +164,12 @@ def settle_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     places = np.concatenate([p[3] for p in parts]).astype(np.int64)
     at = np.cumsum(head[:, 2]) - head[:, 2]
     start = places[at, 1]
-    # the first place of each distinct segment: by null id, id, number of the text in its chunk (equal ids share a chunk), word
-    order = np.lexsort((start, places[at, 0], first[:, 1], first[:, 0], of))
+    # the first place of each distinct segment: by null id, id, hash of the text, number of the text in its chunk (equal ids and hashes share a chunk), word
+    order = np.lexsort((start, places[at, 0], first[:, 2], first[:, 1], first[:, 0], of))
     lead = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
-    hashes, before = word_hashes(list(number))
+    words, before = listed(list(number))
     n_words = np.diff(before)
-    _, symbol = np.unique(hashes, return_inverse=True)
+    symbol = Numbers().of(words)  # by the words' bytes
     text = np.zeros(len(symbol) + len(n_words), np.int64)
     seg = np.repeat(np.arange(len(n_words)), n_words)
     text[np.arange(len(symbol)) + seg] = symbol + 1
@@ -154,7 +181,7 @@ def settle_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     late = np.zeros(len(which), bool)
     if len(found):
         owner = lead[which[found]]
-        rank = np.lexsort((start[owner] + offset[found], places[at[owner], 0], first[owner, 1], first[owner, 0], group))
+        rank = np.lexsort((start[owner] + offset[found], places[at[owner], 0], first[owner, 2], first[owner, 1], first[owner, 0], group))
         late[found[rank]] = np.diff(group[rank], prepend=-1) == 0
     mask = np.zeros(len(n_words), np.int64)
     np.bitwise_or.at(mask, which[late], np.int64(1) << offset[late])
@@ -176,45 +203,34 @@ def settle_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     return [(int(c), rows[rows[:, 0] == c, 1:]) for c in np.unique(rows[:, 0])]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """Columns doc_id, n_words, n_removed, kept_sha256 (and kept, the remaining words), a row for each input row.
 
     Segments around anchors whose key recurs go to a shard by that key. A shard indexes its distinct segments in a compressed FM-index and streams them
-    through it; what comes back are the intervals of words that an earlier window covers. ``window`` may be 2 to 60 words.
+    through it; matching statistics at the threshold tell the windows that recur, and what comes back are the intervals of words that an earlier window covers. Words are numbered by
+    their bytes; only windows of hot keys (see ``exchange``) are told apart by 128 bits of BLAKE2b. ``window`` may be 2 to 60 words, else it is an error.
 
-    A null or empty text has no words (kept_sha256 is that of the empty string). Null ids come after all others. Rows that repeat an id follow each other by
-    text; the later ones lose what the earlier have. An empty table gives an empty result; other columns are ignored.
+    A null or empty text has no words (kept_sha256 is that of the empty string). A very long text stays whole, in one chunk. Null ids come after all others. Rows that repeat an id follow each other by
+    the hash of their text; the later ones lose what the earlier have. An empty table gives an empty result; other columns are ignored.
     """
+    if not 2 <= window <= 60:
+        raise ValueError(f"window must be from 2 to 60 words, not {window}")
     gram = max(1, int(window * GRAM_SHARE))
 
-    def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(texts: list[bytes]) -> Anchors:
         words, before = word_hashes(texts)
         out = np.zeros(len(words), np.uint64)
         own = windows(words, gram)
         out[: len(own)] = own
-        return out, before
-
-    def anchors(texts: list[bytes]) -> Anchors:
-        return find_anchors(*grams(texts), gram, window)
-
-    def encode(ids: list, texts: list[bytes], a: Anchors, hot: np.ndarray, places: int) -> list[tuple[int, bytes]]:
-        data, starts, ends, before = split(texts)
-        raw = data.tobytes()
-
-        def units(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-            words, _ = word_hashes(texts)
-            total = np.zeros(len(doc), np.uint64)
-            for k in range(int((end - first).max())):
-                has = first + k < end
-                total[has] = mix(total[has] + words[before[doc[has]] + first[has] + k])
-            return total
+        return find_anchors(out, before, gram, window, words)
 
-        a = split_hot(a, hot, window, units)
+    def encode(chunk: Chunk, a: Anchors, places: int) -> list[tuple[int, bytes]]:
+        data, starts, ends, before = split(chunk.texts)
+        raw, keys = data.tobytes(), chunk.keys()
         order, parts = by_place(a.key.astype(np.uint64), places)
         doc, low, n = a.doc[order].tolist(), a.low[order].tolist(), (a.high - a.low)[order].tolist()
         base = before[a.doc[order]]
         p0, p1 = starts[base + a.low[order]].tolist(), ends[base + a.high[order] + window - 1].tolist()
-        keys = [(i is None, i or 0) for i in ids]
         out = []
         for place, p, q in parts:
             found: dict[bytes, list[tuple[int, int, int]]] = {}
@@ -223,8 +239,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append((place, write_segments(found, sorted(found), keys)))
         return out
 
-    def finish(ids: list, texts: list[bytes], marks: np.ndarray) -> pa.Table:
-        words = [t.split() for t in texts]
+    def contents(texts: list[bytes], doc: np.ndarray, start: np.ndarray) -> Iterator[bytes]:
+        last = -1
+        for d, s in zip(doc.tolist(), start.tolist()):  # in the order of texts
+            if d != last:
+                words, last = texts[d].split(), d
+                joined = b" ".join(words) + b" "
+                at = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))]).tolist()
+            yield joined[at[s] : at[s + window]]
+
+    def finish(chunk: Chunk, marks: np.ndarray) -> pa.Table:
+        words = [t.split() for t in chunk.texts]
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
         gone = cover(begin, marks) if len(marks) else np.zeros(int(begin[-1]), bool)
         removed, kept = [], []
@@ -233,8 +258,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n = int(np.count_nonzero(own))
             removed.append(n)
             kept.append(b" ".join([w[i] for i in np.flatnonzero(~own).tolist()] if n else w))
-        cols = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
+        cols = {"doc_id": pa.array(chunk.ids, pa.int64()), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
         return pa.table(cols | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text
-    return repeated_intervals(docs, id_col, text_col, anchors, encode, lambda blobs: settle_shard(blobs, window), finish, ddl, chunk_bytes, hot_chunks)
+    return repeated_intervals(docs, id_col, text_col, window, anchors, encode, lambda blobs: settle_shard(blobs, window), contents, finish, ddl, True, chunk_bytes, hot_chunks, hot_entries)

@@ -10,8 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .bpe import slice_hashes
-from .exchange import CHUNK_BYTES, HOT_CHUNKS, Anchors, by_place, cover, find_anchors, gram_hashes, repeated_intervals, split_hot
+from .exchange import CHUNK_BYTES, HOT_CHUNKS, HOT_ENTRIES, Anchors, Chunk, by_place, cover, find_anchors, gram_hashes, repeated_intervals
 
 #: Bytes that anchor a window: a third of it, so that about one place in 70 is an anchor.
 GRAM_SHARE = 0.32
@@ -159,14 +158,14 @@ def merge_place(runs: list[tuple[int, bytes]], window: int, gram: int) -> list[t
     return [(c, np.concatenate(m)) for (c, _), m in zip(runs, marks) if m]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes), a row for each input row.
 
     Suffixes at anchors whose key recurs are sorted in each chunk, front-coded and exchanged; at its place each is merged with the others' by a loser tree,
     and neighbours in the order, with their left contexts, tell the longest repeated string around each anchor. Other suffixes can't begin
-    or hold a repeated window's anchor, so they never move.
+    or hold a repeated window's anchor, so they never move. Bytes decide, but for windows of hot keys (see ``exchange``), which are told apart by 128 bits of BLAKE2b.
 
-    A null or empty text has no bytes (kept_sha256 is that of the empty string). Rows that repeat an id are texts of their own: equal long ones remove each other. Null ids are
+    A null or empty text has no bytes (kept_sha256 is that of the empty string). A very long text stays whole, in one chunk. Rows that repeat an id are texts of their own: equal long ones remove each other. Null ids are
     allowed. An empty table gives an empty result; other columns are ignored.
     """
     gram = max(1, int(window * GRAM_SHARE))
@@ -174,13 +173,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def anchors(texts: list[bytes]) -> Anchors:
         data = np.frombuffer(b"".join(texts), np.uint8)
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-        return find_anchors(gram_hashes(data, gram), begin, gram, window)
+        return find_anchors(gram_hashes(data, gram), begin, gram, window, data)
 
-    def encode(ids: list, texts: list[bytes], a: Anchors, hot: np.ndarray, places: int) -> list[tuple[int, bytes]]:
-        def units(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-            return np.concatenate([slice_hashes(np.frombuffer(texts[d], np.uint8), np.array([f]), np.array([e])) for d, f, e in zip(doc.tolist(), first.tolist(), end.tolist())])
-
-        a = split_hot(a, hot, window, units)
+    def encode(chunk: Chunk, a: Anchors, places: int) -> list[tuple[int, bytes]]:
+        texts = chunk.texts
         order, parts = by_place(a.key.astype(np.uint64), places)
         doc, at, low, high = (x[order].tolist() for x in (a.doc, a.at, a.low, a.high))
         out = []
@@ -192,7 +188,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((place, write_run([(r, s, entries[r, s]) for r, s in sorted(entries)])))
         return out
 
-    def finish(ids: list, texts: list[bytes], marks: np.ndarray) -> pa.Table:
+    def contents(texts: list[bytes], doc: np.ndarray, start: np.ndarray) -> Iterator[bytes]:
+        return (texts[d][s : s + window] for d, s in zip(doc.tolist(), start.tolist()))
+
+    def finish(chunk: Chunk, marks: np.ndarray) -> pa.Table:
+        texts = chunk.texts
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
         gone = cover(begin, marks) if len(marks) else np.zeros(int(begin[-1]), bool)
         removed, spans, kept = [], [], []
@@ -202,8 +202,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             removed.append(n)
             spans.append(int(np.count_nonzero(own[1:] & ~own[:-1]) + own[0]) if n else 0)
             kept.append(np.frombuffer(t, np.uint8)[~own].tobytes() if n else t)
-        cols = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(map(len, texts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
+        cols = {"doc_id": pa.array(chunk.ids, pa.int64()), "n_bytes": pa.array(map(len, texts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
         return pa.table(cols | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return repeated_intervals(docs, id_col, text_col, anchors, encode, lambda runs: merge_place(runs, window, gram), finish, ddl, chunk_bytes, hot_chunks)
+    return repeated_intervals(docs, id_col, text_col, window, anchors, encode, lambda runs: merge_place(runs, window, gram), contents, finish, ddl, False, chunk_bytes, hot_chunks, hot_entries)
