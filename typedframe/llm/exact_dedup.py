@@ -33,18 +33,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (then keep_id is null and kept true). Rows that repeat an id and its text are kept or dropped together
     and count in group_size; one id on several texts has a row a text. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    store = Scratch(spark)
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = store.keep(texts.select("doc_id", F.unhex(hashed_by(F.col("norm"))).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
-    groups = store.keep(rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
-    ids = store.keep(rows.join(groups.select("h"), "h", "left_semi").select(F.col("doc_id").alias("again_id")).distinct())
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
-    again = docs.join(ids, F.col(id_col).eqNullSafe(F.col("again_id")), "left_semi").select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    again = again.select("doc_id", "norm", F.unhex(hashed_by(F.col("norm"))).alias("h"))
-    classes = again.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    compared = store.keep(classes.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")).where("group_size > 1 OR texts > 1"))
+    store = Scratch(docs.sparkSession)
+    rows, again, compared = _compared(docs, id_col, text_col, hashed_by, store, F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"))
     out = _verdicts(rows, compared.where("texts = 1"))
     collided = compared.where("texts > 1").select("h")
     if not collided.isEmpty():
@@ -55,6 +45,44 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return store.finish(out)
 
 
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed_by=content_hash) -> DataFrame:
+    """The rows of ``docs``, one of each text: that with the smallest id, and one only where rows tie in it (repeated or all null ids). Cases as in ``exact_dedup``.
+
+    Rows find their verdict by hash, or by the text itself where a hash has several texts; few recurring hashes are broadcast, so texts aren't moved.
+    """
+    store = Scratch(docs.sparkSession)
+    rows, _, compared = _compared(docs, id_col, text_col, hashed_by, store)
+    ties = rows.join(compared, "h").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.count(F.lit(1)).alias("lead"))
+    known, n = Scratch(docs.sparkSession).counted(compared.join(ties, "h", "left").select(F.col("h").alias("known"), "texts", "keep_id", "lead"))
+    store.drop()
+    norm = normalised(F.col(text_col))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.unhex(hashed_by(norm)).alias("h"))
+    found = whole.join(F.broadcast(known) if n <= MOST_BROADCAST // 4 else known, F.col("h") == F.col("known"), "left")
+    leads = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = found.where(F.col("known").isNull() | ((F.col("texts") == 1) & leads & (F.col("lead") == 1))).select("row.*")
+    if n and not known.where("texts = 1 AND lead > 1").isEmpty():
+        out = out.union(found.where((F.col("texts") == 1) & leads & (F.col("lead") > 1)).dropDuplicates(["h"]).select("row.*"))
+    if n and not known.where("texts > 1").isEmpty():
+        collided = found.where("texts > 1").withColumn("norm", normalised(F.col(f"row.`{text_col}`"))).select("row", "doc_id", "h", "norm")
+        least = collided.groupBy("h", "norm").agg(F.min("doc_id").alias("least"))
+        out = out.union(collided.join(least, ["h", "norm"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["h", "norm"]).select("row.*"))
+    return out
+
+
+def _compared(docs: DataFrame, id_col: str, text_col: str, hashed_by, store: Scratch, *more: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, more); texts whose id has a recurring hash (doc_id, norm, h); and of each recurring hash: how many texts it has, its smallest id, its number of rows."""
+    norm = normalised(F.col(text_col))
+    rows = store.keep(docs.select(F.col(id_col).alias("doc_id"), F.unhex(hashed_by(norm)).alias("h"), *more))
+    groups = store.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    ids, n = store.counted(rows.join(groups, "h", "left_semi").select(F.col("doc_id").alias("again_id")).distinct())
+    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi")
+    again = again.select("doc_id", normalised(F.col("text")).alias("norm"))
+    again = again.select("doc_id", "norm", F.unhex(hashed_by(F.col("norm"))).alias("h"))
+    classes = again.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    compared = classes.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return rows, again, store.keep(compared.where("group_size > 1"))
+
+
 def _verdicts(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows whose hash is in no group are a class of their own."""
     found = rows.join(groups.select("h", "keep_id", "group_size"), "h", "left")

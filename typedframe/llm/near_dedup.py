@@ -23,8 +23,8 @@ MARGIN = 0.18
 MOST_BROADCAST = 1 << 18
 #: Keys with HOT_ROWS rows and a share of 1 / MOST_HOT of all rows are dealt over SALTS; there are at most MOST_HOT such keys, whatever the data, so that their list may be broadcast.
 HOT_ROWS, MOST_HOT, SALTS = 256, 20_000, 64
-#: Members of a bucket are compared in blocks of about so many, and blocks in places of about so many rows.
-BLOCK, PLACE_ROWS = 512, 1 << 15
+#: Members of a bucket are compared in blocks of about so many rows and bytes at the most; two blocks meet in one place, and places hold about so many rows and bytes.
+BLOCK, BLOCK_BYTES, PLACE_ROWS, PLACE_BYTES = 512, 4 << 20, 1 << 15, 16 << 20
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def _words_hash(words: list[bytes]) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Columns doc_id, text_hash, n_shingles, cls (hash of the word sequence), bands and sketch (arrays of long)."""
+    """Columns doc_id, text_hash, size (bytes of the text), n_shingles, cls (hash of the word sequence), bands and sketch (arrays of long)."""
 
     def rows(batch: pa.RecordBatch) -> list:
         texts = [t.encode().lower() for t in texts_of(batch, "text")]
@@ -81,10 +81,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                     cols[1][i], cols[2][i] = k, s
             for column, x in zip(out, (n.tolist(), *cols)):
                 column.extend(x)
-        return [batch.column("doc_id"), [sha256(t.encode()).digest() for t in texts_of(batch, "text")], *out]
+        return [batch.column("doc_id"), [sha256(t.encode()).digest() for t in texts_of(batch, "text")], [len(t) for t in texts], *out]
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
-    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rows, "doc_id long, text_hash binary, n_shingles long, cls binary, bands array<long>, sketch array<long>", arrow)
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("size", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rows, "doc_id long, text_hash binary, size long, n_shingles long, cls binary, bands array<long>, sketch array<long>", arrow)
 
 
 def _differing(left: Column, right: Column) -> Column:
@@ -128,7 +128,7 @@ def class_texts(docs: DataFrame, needed: DataFrame, few: bool) -> DataFrame:
 
 def confirm(pairs: DataFrame, total: int, classes: DataFrame, docs: DataFrame, percent: int, shingle: int, store: Scratch) -> tuple[DataFrame, int]:
     """Those of the ``total`` pairs (a, b) whose full sets have 100 * intersection >= percent * union, and how many. A text is moved once a pair at most; a class in many pairs is dealt out."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     texts = store.keep(class_texts(docs, ends.join(classes.select("cls", "rep"), "cls"), 2 * total <= MOST_BROADCAST))
     full = pairs
     for end in "ba":
@@ -166,47 +166,104 @@ def components(edges: DataFrame, store: Scratch) -> DataFrame:
         last = got
 
 
-def _bucket_pairs(members: DataFrame, rows: int, most: int) -> DataFrame:
-    """Pairs (a, b) of members (key, cls, root, sketch) of one bucket that are of different components and whose sketches agree.
-
-    Buckets are cut into blocks of about BLOCK members; two blocks meet in one place, as bitmaps without texts, and places hold about PLACE_ROWS rows whatever the data.
-    """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows_of = dealt_join(members, sizes.select("key", "blocks"), "key", hot_keys(sizes, "key", rows))
-    rows_of = rows_of.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows_of = rows_of.select("key", "cls", "root", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    copies = int(sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0)
-    rows_of = rows_of.withColumn("place", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-copies // PLACE_ROWS)))))
-
-    def compare(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")])
-        key, i, j, own = (t.column(c).to_numpy() for c in ("key", "i", "j", "own"))
-        root = np.array(t.column("root").to_pylist(), "S16")
-        root = np.unique(root, return_inverse=True)[1]
-        sketch = t.column("sketch").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(key), -1)
+def merged(roots: DataFrame, links: DataFrame, store: Scratch) -> DataFrame:
+    """The components (node, root) after more links: only the roots that these join go through the steps again."""
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
+    links = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    top = components(links, store).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    joined = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return store.keep(joined.union(top.join(roots, top["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))))
+
+
+def _blocks(members: DataFrame, rows: int, bytes_a_row: str) -> DataFrame:
+    """Members (key, ...) with i, j, own and place: blocks i and j of a bucket meet; ``own`` is a member's block."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr(f"sum({bytes_a_row})").alias("bytes"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
+    total = sizes.agg(F.sum(F.col("n") * F.col("blocks")).alias("n"), F.sum(F.col("bytes") * F.col("blocks")).alias("bytes")).first()
+    places = max(1, -(-(total["n"] or 0) // PLACE_ROWS), -(-(total["bytes"] or 0) // PLACE_BYTES))
+    out = dealt_join(members, sizes.select("key", "blocks"), "key", hot_keys(sizes, "key", rows))
+    out = out.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    out = out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    return out.withColumn("place", F.pmod(F.xxhash64("key", "i", "j"), F.lit(places)))
+
+
+class Place:
+    """All rows that meet in a place, in the order of bucket and blocks."""
+
+    def __init__(self, table: pa.Table):
+        self.table = t = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "own", "cls")])
+        self.key, self.i, self.j, self.own = (t.column(c).to_numpy() for c in ("key", "i", "j", "own"))
+        self.cls, self.root = t.column("cls").to_pylist(), t.column("root").to_pylist()
+        number = {r: k for k, r in enumerate(dict.fromkeys(self.root))}
+        self.component = np.array([number[r] for r in self.root], np.int64)
+        self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(self.key), -1)
+
+    def meetings(self, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member, with those of other components that it meets and whose sketches agree, nearest first."""
+        key, i, j = self.key, self.i, self.j
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for p, q in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            mid = q if i[p] == j[p] else p + int(np.searchsorted(own[p:q], j[p]))
+            mid = q if i[p] == j[p] else p + int(np.searchsorted(self.own[p:q], j[p]))
             for x in range(p, mid):
                 first = x + 1 if i[p] == j[p] else mid
-                far = np.bitwise_count(sketch[first:q] ^ sketch[x]).sum(axis=1)
-                near = first + np.flatnonzero((far <= most) & (root[first:q] != root[x]))
-                left.append(np.full(len(near), x))
-                right.append(near)
-        cls = t.column("cls").combine_chunks()
-        a, b = cls.take(pa.array(np.concatenate(left))), cls.take(pa.array(np.concatenate(right)))
-        return pa.table({"a": a, "b": b})
+                far = np.bitwise_count(self.sketch[first:q] ^ self.sketch[x]).sum(axis=1)
+                near = np.flatnonzero((far <= most) & (self.component[first:q] != self.component[x]))
+                if len(near):
+                    yield x, first + near[np.argsort(far[near], kind="stable")]
+
+
+def _survivors(members: DataFrame, rows: int, most: int) -> DataFrame:
+    """Those members (key, cls, root, sketch) that agree with one of another component in their bucket: by sketches alone, a row each at the most."""
+
+    def screen(table: pa.Table) -> pa.Table:
+        place = Place(table)
+        found = np.zeros(len(place.key), bool)
+        for x, near in place.meetings(most):
+            found[x] = True
+            found[near] = True
+        return place.table.filter(pa.array(found)).select(["key", "cls"])
+
+    return _blocks(members, rows, "64").groupBy("place").applyInArrow(screen, "key long, cls binary").distinct()
+
+
+def _bucket_links(members: DataFrame, rows: int, most: int, percent: int, shingle: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join the components of each bucket's members (key, cls, root, sketch, bands, text, size).
+
+    Texts meet once for BLOCK comparisons of theirs. Only links become rows, fewer than components: pairs that a link has joined are skipped, and a pair is compared only in the first bucket that it shares.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        place = Place(table)
+        bands = place.table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(place.key), -1)
+        text, words, root, found = place.table.column("text"), {}, {}, []
+
+        def of(k: int) -> list[bytes]:
+            if place.cls[k] not in words:
+                words[place.cls[k]] = text[k].as_py().split()
+            return words[place.cls[k]]
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        for x, near in place.meetings(most):
+            same = bands[near] == bands[x]
+            for y in near[bands[x][same.argmax(axis=1)] == place.key[x]].tolist():
+                a, b = find(int(place.component[x])), find(int(place.component[y]))
+                if a != b and similar([of(x)], [of(y)], percent, shingle)[0]:
+                    root[max(a, b)] = min(a, b)
+                    found.append((max(place.cls[x], place.cls[y]), min(place.cls[x], place.cls[y])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    pairs = rows_of.groupBy("place").applyInArrow(compare, "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return _blocks(members, rows, "size").groupBy("place").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, link_null_ids: bool = False, with_hash: bool = False) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, kept (and text_hash, SHA-256 of the text), a row for each input row.
 
     Texts of equal words are one class from the start. Each class meets the smallest class of its buckets first, then the first of each bucket that isn't in its
-    star yet, and last, in blocks, all of its buckets' members in other components. So large groups of near copies collapse before anything quadratic, and no pair
+    component yet, and last, in blocks, all of its buckets' members in other components: by sketches, and those that agree with one by their texts. So large groups of near copies collapse before anything quadratic, and no pair
     of a bucket goes unexamined: pairs are left out only if one component holds them already or their sketches are far apart. Every link is confirmed on the words of the full sets. What
     lies between is deleted when the result is written.
 
@@ -220,7 +277,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sig = store.keep(signatures(texts, "doc_id", "text", shingle))
     own = sig.where("n_shingles > 0") if link_null_ids else sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes, n_classes = store.counted(own.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes, n_classes = store.counted(own.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size")))
     sketches = classes.select("cls", "sketch")
     spread = classes.select("cls", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -236,32 +293,48 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def confirmed(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
         return confirm(pairs, n, classes, texts, percent, shingle, store) if n else (pairs, 0)
 
+    def labelled() -> DataFrame:
+        """Members of buckets that more than one component shares."""
+        every = members.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+        mixed = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return dealt_join(every, mixed, "key", hot)
+
     first = members.groupBy("cls").agg(F.min(F.struct("pivot", "pivot_sketch")).alias("p")).select("cls", "p.*").where("cls <> pivot")
     edges, _ = confirmed(*near(first))
-    star = edges.select(F.col("a").alias("cls"), F.col("b").alias("root"))
-    labelled = members.select("key", "cls").join(star, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    pivots = shared.join(star.select(F.col("cls").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").select("key", "pivot", "pivot_sketch", F.coalesce("pivot_root", "pivot").alias("pivot_root"))
-    pairs = dealt_join(labelled, pivots, "key", hot).where("root <> pivot_root AND cls <> pivot").select("cls", "pivot", "pivot_sketch")
-    edges = edges.union(confirmed(*near(pairs))[0])
     of_id = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("last")).where("b <> last")
     edges = edges.union(own.join(of_id, "doc_id").select(F.col("cls").alias("a"), "b").where("a <> b"))
-    roots = components(edges, store)
-
-    labelled = members.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest, n = store.counted(dealt_join(labelled, mixed, "key", hot).join(sketches, "cls"))
-    found, n = confirmed(*store.counted(_bucket_pairs(rest, n, most))) if n else (rest, 0)
-    if n:  # links between components, by their roots
-        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
-        found = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        top = components(found, store).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        joined = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = joined.union(top.join(roots, top["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
+    roots = store.keep(components(edges, store))
+
+    pivots = shared.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").select("key", "pivot", "pivot_sketch", F.coalesce("pivot_root", "pivot").alias("pivot_root"))
+    pairs = dealt_join(labelled(), pivots, "key", hot).where("root <> pivot_root").groupBy("cls", "pivot").agg(F.first("pivot_sketch").alias("pivot_sketch"))
+    found, n = confirmed(*near(pairs))
+    if n:
+        roots = merged(roots, found, store)
+    rest, n = store.counted(labelled().join(sketches, "cls"))
+    if n:
+        alive, n = store.counted(rest.join(_survivors(rest, n, most), ["key", "cls"]))
+    if n:
+        texts_of_rest = class_texts(texts, alive.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), n <= MOST_BROADCAST)
+        found, n = store.counted(_bucket_links(alive.join(classes.select("cls", "bands", "size"), "cls").join(texts_of_rest, "cls"), n, most, percent, shingle))
+    if n:
+        roots = merged(roots, found, store)
     linked = roots.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
     linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select("cls", "root", "least")
-    out = sig.drop("bands", "sketch").join(classes.select("cls", "rep"), "cls", "left").join(linked, "cls", "left")
+    out = sig.drop("bands", "sketch", "size").join(classes.select("cls", "rep"), "cls", "left").join(linked, "cls", "left")
     alone = (F.col("n_shingles") == 0) if link_null_ids else (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")))
     named = F.when(F.col("component_id").isNull(), F.coalesce("root", "cls") == F.col("cls")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     out = out.withColumn("kept", F.when(alone, True).otherwise(named))
     return store.finish(out.select("doc_id", "n_shingles", "component_id", "kept", *["text_hash"] * with_hash))
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, one document of each group: each row is judged by its id and text, null ids linked like others. Few dropped rows' hashes are broadcast, so texts aren't moved.
+
+    Cases as in ``near_dedup``; rows of equal id and text share one verdict.
+    """
+    store = Scratch(docs.sparkSession)
+    verdicts = near_dedup(docs, id_col, text_col, percent, shingle, link_null_ids=True, with_hash=True)
+    gone, n = store.counted(verdicts.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
+    own = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return docs.join(F.broadcast(gone) if n <= MOST_BROADCAST else gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (own == F.col("gone_hash")), "left_anti")
