@@ -100,6 +100,7 @@ def test_fm_index_counts():
     r = np.random.default_rng(3)
     text = np.append(r.integers(1, 6, 400), 0)
     index = substring_dedup.FMIndex(text, 8)
+    assert index.tree.bits() < 3 * 2 * len(text)
     for k in range(300):
         pattern = text[k : k + 6]
         low, high = index.first[pattern[-1:]], index.first[pattern[-1:] + 1]
@@ -243,6 +244,18 @@ def test_packing_takes_special_strings_as_text(spark):
     assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want
 
 
+def test_packing_query_follows_the_library(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y \u3000 it's IT'S 12345", "a  <|endoftext|>  b <|endoftext", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in enumerate(texts)]
+    special = packing.special_tokens(P.path("byte_bpe_50k.json"))
+    got = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), with_ids=True, special=special).select("doc_id", "ids").collect()
+    assert special == {"<|endoftext|>": 50256} and sorted((r.doc_id, bytes(r.ids)) for r in got) == want
+
+
 def test_packing_keeps_large_ids_beside_null_ones(spark):
     docs = spark.createDataFrame([(None, "a b"), (2**53 + 1, "c"), (2**62 + 3, None)], "doc_id long, text string")
     out = packing.pack(docs, P.path("byte_bpe_50k.tiktoken")).collect()
