@@ -37,6 +37,10 @@ class DuplicateKeyError(RuntimeError):
     pass
 
 
+class NullViolation(RuntimeError):
+    """A null in a column that is declared without."""
+
+
 class SchemaMismatch(RuntimeError):
     pass
 

@@ -140,10 +140,10 @@ class Expr(Node):
         return Condition("nbetween", (self, self._lit(low), self._lit(high)))
 
     def between_var(self) -> Condition:
-        return Condition("between", (self, param(), param()))
+        return Condition("between", (self, param(of=self), param(of=self)))
 
     def nbetween_var(self) -> Condition:
-        return Condition("nbetween", (self, param(), param()))
+        return Condition("nbetween", (self, param(of=self), param(of=self)))
 
     def in_val(self, *values: Any) -> Condition:
         """No value: never true."""
@@ -154,10 +154,10 @@ class Expr(Node):
         return Condition("nin", (self,), [self._lit(v).value for v in values])
 
     def in_var(self) -> Condition:
-        return Condition("in", (self, param(SLICE)))
+        return Condition("in", (self, param(SLICE, self)))
 
     def nin_var(self) -> Condition:
-        return Condition("nin", (self, param(NOT_SLICE)))
+        return Condition("nin", (self, param(NOT_SLICE, self)))
 
     def in_(self, subquery: Any) -> Condition:
         return Condition("in_subquery", (self, self._same(subquery.as_operand())))
@@ -301,7 +301,7 @@ def _comparison(op: str) -> tuple[Callable, Callable, Callable]:
         return Condition(op, (self, self._lit(value)))
 
     def var(self: Expr) -> Condition:
-        return Condition(op, (self, param()))
+        return Condition(op, (self, param(of=self)))
 
     return rhs, val, var
 
@@ -322,14 +322,15 @@ for _name, (_shape, _marker) in _SHAPES.items():
             return Condition(_like, (self, self._lit(_shape.format(text))))
 
         def _var(self: Expr, _like: str = _like, _marker: str = _marker) -> Condition:
-            return Condition(_like, (self, param(_marker)))
+            return Condition(_like, (self, param(_marker, self)))
 
         setattr(Expr, f"{_neg}{_name}_val", _val)
         setattr(Expr, f"{_neg}{_name}_var", _var)
 
 
-def param(marker: str = VALUE) -> Expr:
-    return Expr("param", value=marker)
+def param(marker: str = VALUE, of: Expr | None = None) -> Expr:
+    """A deferred argument; its value has to fit the type of the expression that it is compared with."""
+    return Expr("param", value=marker, name=(of.name or of.kind) if of is not None else "", type=of.type if of is not None else None)
 
 
 def bind(value: Any) -> Expr:

@@ -6,7 +6,6 @@ Rows are dicts (ids and versions are written back into them) or whole DataFrames
 from __future__ import annotations
 
 import datetime
-import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
@@ -15,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import BuildError, DuplicateKeyError, OptimisticLockConflict
+from ..errors import BuildError, DuplicateKeyError, NullViolation, OptimisticLockConflict
 from ..functions.expr import Expr
 from ..sources.runtime import Runtime
 from ..sources.schema import TableDef
+from ..sources.store import checkpointed
 
 CHUNK = 1000
 #: Row lists up to this long are broadcast; DataFrames are joined as Catalyst sees fit.
@@ -26,14 +26,6 @@ MOST_BROADCAST = 10_000
 Row = dict[str, Any]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by files in the folder of ``spark.checkpoint.dir``; one is set where none is."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="typedframe-"))
-    return df.checkpoint()
-
-
 def _now() -> datetime.datetime:
     return datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
 
@@ -76,6 +68,8 @@ def _duplicates(rt: Runtime, table: TableDef, new: DataFrame) -> DataFrame | Non
     """Rows of ``new`` that repeat a key of the table; null keys never do."""
     old, out = rt.frame(table), None
     for fields in _keys_of(table):
+        if not set(fields) <= set(new.columns):
+            continue  # a missing field is null
         hit = new.join(old.select(*fields).distinct(), list(fields), "left_semi").select(*new.columns)
         out = hit if out is None else out.union(hit)
     return out
@@ -87,15 +81,65 @@ def _mark_active(table: TableDef, rows: Sequence[Row]) -> None:
             r.setdefault(table.deleted_at, 0)
 
 
+def _known(table: TableDef, columns: Iterable[str]) -> None:
+    if unknown := set(columns) - {c.name for c in table.columns}:
+        raise BuildError(f"{table.name} has no column {sorted(unknown)[0]!r}")
+
+
+def _no_repeats(table: TableDef, new: DataFrame, keys: Iterable[tuple[str, ...]]) -> None:
+    """Keys are distinct within ``new``; null ones never repeat."""
+    for fields in keys:
+        if set(fields) <= set(new.columns) and not new.dropna(subset=list(fields)).groupBy(*fields).count().where("count > 1").isEmpty():
+            raise DuplicateKeyError(f"{table.name}: {fields} twice in one batch")
+
+
+def _no_nulls(table: TableDef, new: DataFrame, whole: bool) -> None:
+    """No null in a column declared without; with ``whole``, none of these is missing."""
+    need = [c.name for c in table.columns if not c.nullable]
+    if whole and (missing := [n for n in need if n not in new.columns]):
+        raise NullViolation(f"{table.name}.{missing[0]} has no value")
+    if need := [n for n in need if n in new.columns]:
+        found = new.agg(*[F.max(F.col(n).isNull()).alias(n) for n in need]).first()
+        if bad := [n for n in need if found[n]]:
+            raise NullViolation(f"{table.name}.{bad[0]} is null")
+
+
+def _numbered(rt: Runtime, table: TableDef, new: DataFrame) -> DataFrame:
+    """Rows with ids from the table's largest on, without gaps: places in partitions, and how many rows the partitions before have."""
+    kind = table.struct()[table.pk].dataType
+    top = int(rt.frame(table).agg(F.max(table.pk)).first()[0] or 0)
+    rows = checkpointed(new.withColumn("_at", F.monotonically_increasing_id()))  # partition << 33 | place
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    total, before = 0, []
+    for p, n in counts:
+        before.append((p, total))
+        total += n
+    most = {T.ByteType: 127, T.ShortType: 32767, T.IntegerType: 2**31 - 1}.get(type(kind), 2**63 - 1)
+    if top + total > most:
+        raise BuildError(f"{table.name}.{table.pk} has no room for {total} more ids")
+    before = F.broadcast(rt.spark.createDataFrame(before, "_p long, _before long"))
+    return rows.join(before, part == F.col("_p")).withColumn(table.pk, (place + F.col("_before") + F.lit(top + 1)).cast(kind)).drop("_at", "_p", "_before")
+
+
 def insert_frame(rt: Runtime, table: TableDef, new: DataFrame, check_keys: bool = True) -> None:
-    """Appends a DataFrame by column names; missing columns are null, missing automatic ids follow the largest and are unique, not dense."""
-    old = rt.frame(table)
-    if table.pk and table.auto_increment and table.pk not in new.columns:
-        top = old.agg(F.max(table.pk)).first()[0] or 0
-        new = checkpointed(new.withColumn(table.pk, (F.monotonically_increasing_id() + F.lit(top + 1)).cast(table.struct()[table.pk].dataType)))
-    if check_keys and (hits := _duplicates(rt, table, new)) is not None and not hits.isEmpty():
-        raise DuplicateKeyError(table.name)
-    rt.publish(table, old.unionByName(new, allowMissingColumns=True).select(*old.columns))
+    """Appends a DataFrame by column names; missing columns are null, missing automatic ids follow the largest without gaps.
+
+    Unknown columns, nulls in columns declared without, and keys that repeat in the frame or in the table are errors; ``check_keys`` says whether keys are looked at.
+    """
+
+    def act() -> None:
+        _known(table, new.columns)
+        rows = _numbered(rt, table, new) if table.pk and table.auto_increment and table.pk not in new.columns else new
+        _no_nulls(table, rows, True)
+        if check_keys:
+            _no_repeats(table, rows, _keys_of(table))
+            if (hits := _duplicates(rt, table, rows)) is not None and not hits.isEmpty():
+                raise DuplicateKeyError(table.name)
+        old = rt.frame(table)
+        rt.publish(table, old.unionByName(rows, allowMissingColumns=True).select(*old.columns))
+
+    rt.atomic(act)
 
 
 def insert(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
@@ -121,6 +165,8 @@ def insert(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
             keys = [k for r in rows if None not in (k := tuple(r.get(f) for f in fields))]
             if len(set(keys)) < len(keys):
                 raise DuplicateKeyError(f"{table.name}: {fields} twice in one batch")
+        if bad := [c.name for c in table.columns if not c.nullable and any(r.get(c.name) is None for r in rows)]:
+            raise NullViolation(f"{table.name}.{bad[0]} has no value")
         new = _frame(rt, table, rows, cols)
         if (hits := _duplicates(rt, table, new)) is not None and not hits.isEmpty():
             raise DuplicateKeyError(table.name)
@@ -128,7 +174,7 @@ def insert(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
         rt.publish(table, old.unionByName(new, allowMissingColumns=True).select(*old.columns))
         return len(rows)
 
-    return rt.run("insert", table, act)
+    return rt.run("insert", table, lambda: rt.atomic(act))
 
 
 def _matching(rt: Runtime, table: TableDef, rows: Sequence[Row]) -> int:
@@ -138,19 +184,35 @@ def _matching(rt: Runtime, table: TableDef, rows: Sequence[Row]) -> int:
 
 
 def update_frame(rt: Runtime, table: TableDef, new: DataFrame) -> None:
-    """Sets the columns of ``new`` in rows with its keys; neither key nor version changes by its values."""
-    pk = _key(table)
-    cols = [c for c in new.columns if c not in (pk, table.version)]
-    old = rt.frame(table).alias("_old")
-    right = new.select(F.col(pk).alias("_pk"), *[F.col(c).alias(f"_new_{c}") for c in cols])
-    joined = old.join(right, F.col(f"_old.{pk}") == F.col("_pk"), "left")
-    hit = F.col("_pk").isNotNull()
+    """Sets the columns of ``new`` in rows with its keys; neither key nor version changes by its values.
 
-    def value(c: str):
-        was = F.col(f"_old.{c}")
-        return F.when(hit, F.col(f"_new_{c}")).otherwise(was) if c in cols else F.when(hit, (was + 1).cast(table.struct()[c].dataType)).otherwise(was) if c == table.version else was
+    A key twice in the frame, an unknown column, a null in a column declared without and a unique index that the result breaks are errors.
+    """
+
+    def act() -> None:
+        pk = _key(table)
+        _known(table, new.columns)
+        _no_repeats(table, new, [(pk,)])
+        _no_nulls(table, new, False)
+        cols = [c for c in new.columns if c not in (pk, table.version)]
+        old = rt.frame(table).alias("_old")
+        right = new.select(F.col(pk).alias("_pk"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+        joined = old.join(right, F.col(f"_old.{pk}") == F.col("_pk"), "left")
+        hit = F.col("_pk").isNotNull()
+
+        def value(c: str):
+            was = F.col(f"_old.{c}")
+            return F.when(hit, F.col(f"_new_{c}")).otherwise(was) if c in cols else F.when(hit, (was + 1).cast(table.struct()[c].dataType)).otherwise(was) if c == table.version else was
+
+        after = joined.select(*[value(c.name).alias(c.name) for c in table.columns])
+        for fields in _keys_of(table):
+            if set(fields) & set(cols):
+                touched = after.join(new.select(pk), pk, "left_semi").select(*fields).dropna().distinct()
+                if not after.join(touched, list(fields), "left_semi").groupBy(*fields).count().where("count > 1").isEmpty():
+                    raise DuplicateKeyError(f"{table.name}: {fields}")
+        rt.publish(table, after)
 
-    rt.publish(table, joined.select(*[value(c.name).alias(c.name) for c in table.columns]))
+    rt.atomic(act)
 
 
 def update(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
@@ -176,12 +238,12 @@ def update(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
             r[table.version] += 1
         return n
 
-    return rt.run("update", table, act)
+    return rt.run("update", table, lambda: rt.atomic(act))
 
 
 def delete_frame(rt: Runtime, table: TableDef, keys: DataFrame) -> None:
     pk = _key(table)
-    rt.publish(table, rt.frame(table).join(keys.select(pk), pk, "left_anti").select(*[c.name for c in table.columns]))
+    rt.atomic(lambda: rt.publish(table, rt.frame(table).join(keys.select(pk), pk, "left_anti").select(*[c.name for c in table.columns])))
 
 
 def delete(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
@@ -198,7 +260,7 @@ def delete(rt: Runtime, table: TableDef, rows: Row | Sequence[Row]) -> int:
         delete_frame(rt, table, _frame(rt, table, rows, [pk]))
         return n
 
-    return rt.run("delete", table, act)
+    return rt.run("delete", table, lambda: rt.atomic(act))
 
 
 def soft_delete(rt: Runtime, table: TableDef, rows: Row | Sequence[Row], when: int | datetime.datetime | None = None) -> int:

@@ -19,7 +19,7 @@ def _split(text: str) -> list[str]:
 def parse_order(text: str) -> str:
     order = text.strip().upper()
     if order not in ("ASC", "DESC"):
-        raise ValueError(f"invalid order: {text}")
+        raise ValueError(f"{text!r} is no direction: ASC or DESC")
     return order
 
 
@@ -63,11 +63,11 @@ class PageRequest:
 
     def validate(self) -> None:
         if self.page <= 0:
-            raise ValueError(f"page must be greater than 0, got {self.page}")
+            raise ValueError(f"pages count from 1; {self.page} was asked for")
         if not 0 < self.size <= MAX_SIZE:
             raise ValueError(f"size must lie between 1 and {MAX_SIZE}, got {self.size}")
         if _split(self.order) and not _split(self.order_by):
-            raise ValueError("order requires order_by")
+            raise ValueError("directions without sort fields")
         for o in _split(self.order):
             parse_order(o)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from ..errors import ArgumentError, BuildError
-from ..functions.expr import CONTAINS, NOT_SLICE, PREFIX, SLICE, SUFFIX, Condition, Expr, Node, plain
+from ..functions.expr import CONTAINS, NOT_SLICE, PREFIX, SLICE, SUFFIX, Condition, Expr, Node, fits, plain
 from ..sources.schema import TableDef
 
 INNER, LEFT, RIGHT, FULL, CROSS = "inner", "left", "right", "full", "cross"
@@ -150,15 +150,23 @@ def map_nodes(spec: QuerySpec, fn) -> QuerySpec:
     )
 
 
-def _values(x: Any) -> list[Any]:
+def _argument(n: Node, value: Any) -> Any:
+    """The value as Spark takes it, if it fits what it is compared with."""
+    try:
+        value = plain(value)
+    except BuildError as e:
+        raise ArgumentError(str(e)) from e
+    if not fits(n.type, value):
+        raise ArgumentError(f"{value!r} doesn't fit {n.name} of type {n.type.simpleString()}")
+    return value
+
+
+def _values(n: Node, x: Any) -> list[Any]:
     if x is None:
         return []
     if isinstance(x, (str, bytes)) or not hasattr(x, "__iter__"):
         raise ArgumentError("a list argument is expected")
-    try:
-        return [plain(v) for v in x]
-    except BuildError as e:
-        raise ArgumentError(str(e)) from e
+    return [_argument(n, v) for v in x]
 
 
 def resolve(spec: QuerySpec, args: tuple[Any, ...]) -> tuple[QuerySpec, dict[str, QuerySpec]]:
@@ -175,7 +183,7 @@ def resolve(spec: QuerySpec, args: tuple[Any, ...]) -> tuple[QuerySpec, dict[str
             return _fill_one(n, take())
         if n.kind in ("in", "nin") and len(n.args) == 2 and n.args[1].kind == "param":
             inner = fill(n.args[0])
-            values = _values(take())
+            values = _values(n.args[1], take())
             empty = not values and n.args[1].value == SLICE
             return replace(n, args=(inner,), value=["null"] if empty else values, name="null" if empty else "")
         if n.kind == "subquery":
@@ -194,13 +202,10 @@ def _fill_one(n: Node, value: Any) -> Node:
     if shape:
         if not isinstance(value, str):
             raise ArgumentError("a pattern argument is text")
-        return Expr("literal", value=shape.format(value))
+        return Expr("literal", value=_argument(n, shape.format(value)))
     if n.value in (SLICE, NOT_SLICE):
         raise ArgumentError("a list argument belongs to IN")
-    try:
-        return Expr("literal", value=plain(value))
-    except BuildError as e:
-        raise ArgumentError(str(e)) from e
+    return Expr("literal", value=_argument(n, value))
 
 
 def params(spec: QuerySpec) -> int:

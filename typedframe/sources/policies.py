@@ -100,4 +100,35 @@ def apply_policy(runtime: Runtime, policy: str) -> None:
 def check_unique(runtime: Runtime, table: TableDef) -> list[str]:
     """Names of unique indexes that the data breaks; Spark has no indexes, so they are checked on demand."""
     df = runtime.frame(table)
-    return [i.name for i in table.unique if not df.groupBy(*table.index_fields(i)).count().where("count > 1").isEmpty()]
+    return [i.name for i in table.unique if not df.dropna(subset=list(table.index_fields(i))).groupBy(*table.index_fields(i)).count().where("count > 1").isEmpty()]
+
+
+INDEXES = "typedframe_indexes"
+
+
+def registered_indexes(spark: SparkSession) -> set[tuple[str, str, str, bool]]:
+    """(table, name, fields, unique) of all indexes that earlier calls registered."""
+    return {tuple(r) for r in spark.table(INDEXES).collect()} if spark.catalog.tableExists(INDEXES) else set()
+
+
+def apply_index_policy(runtime: Runtime, policy: str) -> list[str]:
+    """The same policies for declared indexes, which Spark hasn't but the catalog can register: validate compares them with the register, create_missing adds to it, but a difference
+    is an error, reconcile and managed replace what differs, managed drops those of tables declared no more. A unique index enters only if the data keeps it. Returns the names that were added."""
+    if policy not in (MANUAL, VALIDATE, CREATE_MISSING, RECONCILE, MANAGED):
+        raise BuildError(f"unknown policy {policy!r}")
+    if policy == MANUAL:
+        return []
+    spark, now = runtime.spark, registered_indexes(runtime.spark)
+    wanted = {(t.physical, i.name, ",".join(t.index_fields(i) if u else i.fields), u) for t in runtime.tables.values() for group, u in ((t.unique, True), (t.indexes, False)) for i in group}
+    own = {r for r in now if r[0] in runtime.tables}
+    missing, extra = wanted - own, own - wanted
+    if missing and policy == VALIDATE or extra and policy in (VALIDATE, CREATE_MISSING):
+        raise SchemaMismatch(", ".join(sorted([f"add {r[1]}" for r in missing] + [f"drop {r[1]}" for r in extra])))
+    if broken := [n for name in sorted({r[0] for r in missing if r[3]}) for n in check_unique(runtime, runtime.tables[name])]:
+        raise SchemaMismatch(f"not unique: {', '.join(broken)}")
+    after = wanted | (set() if policy == MANAGED else now - own)
+    if after != now:
+        if spark.catalog.tableExists(INDEXES):
+            spark.sql(f"DROP TABLE {INDEXES}")
+        spark.createDataFrame(sorted(after), "table string, name string, fields string, uniq boolean").coalesce(1).write.format("parquet").saveAsTable(INDEXES)
+    return sorted(r[1] for r in missing)
