@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 
 from typedframe.llm import bpe, near_dedup, quality, substring_dedup, suffix_dedup
-from typedframe.llm.words import Numbers, exact_windows, listed, shingle_sets, similar
+from typedframe.llm.words import exact_windows, hash_slices, same_slices, shingle_sets, similar, split
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -53,19 +53,24 @@ def test_near_dedup_tells_colliding_words_apart(spark):
     assert got == {r.doc_id: (count(r.text), r.doc_id) for r in docs.collect()}
 
 
+def test_word_hashes_and_bytes():
+    r = random.Random(3)
+    words = [bytes(r.choice(b"ab\xc3") for _ in range(r.choice((1, 2, 7, 8, 9, 16, 17, 40, 63, 64, 65, 200)))) for _ in range(3000)] + [X.encode(), Y.encode()]
+    data, starts, ends, _ = split([b" ".join(words)])
+    h = hash_slices(data, starts, ends)
+    assert len({*h.tolist()}) == len({*words}) and len({*zip(h.tolist(), words)}) == len({*words})
+    a, b = (np.array([r.randrange(len(words)) for _ in range(4000)]) for _ in range(2))
+    assert same_slices(data, starts, ends, a, b).tolist() == [words[x] == words[y] for x, y in zip(a, b)]
+
+
 def test_set_sizes_survive_colliding_hashes(monkeypatch):
-    """Were all words' hashes equal, set sizes and similarities would still be right."""
+    """Were all words' hashes equal, set sizes would still be right, and so are similarities."""
     r = random.Random(1)
     texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60))).encode() for _ in range(80)]
-    table = near_dedup.shingle_sets.__globals__["hashes"]()
-    words, before = listed(texts)
-    monkeypatch.setattr(type(table), "of", lambda self, w: (setattr(self, "hash", np.zeros(len(w) + 1, np.uint64)), Numbers().of(w))[1])
-    sizes = shingle_sets(words, before)[2]
-    monkeypatch.undo()
-    table.clear()
-    table.hash, table.fresh = np.zeros(0, np.uint64), []
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} or ({tuple(t.split())} if t.split() else set()) for t in texts]
-    assert sizes.tolist() == list(map(len, sets))
+    assert shingle_sets(texts)[2].tolist() == list(map(len, sets))
+    monkeypatch.setitem(shingle_sets.__globals__, "hash_slices", lambda d, s, e: np.zeros(len(s), np.uint64))
+    assert shingle_sets(texts)[2].tolist() == list(map(len, sets))
     pairs = [(r.randrange(80), r.randrange(80)) for _ in range(500)]
     got = similar([texts[a].split() for a, _ in pairs], [texts[b].split() for _, b in pairs], 10)
     assert got.tolist() == [bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 10 * len(sets[a] | sets[b]) for a, b in pairs]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -30,6 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{conf.rstrip('/')}/tf-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While rows are written, Arrow batches towards Python are small; the session's settings come back."""
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Scratch:
     """A folder of intermediate tables in the shared folder: rows written and read again cut lineage and survive lost executors."""
 
@@ -38,9 +59,7 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
-        path = f"{self.path}/{self.made}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _written(df, f"{self.path}/{self.made}")
 
     def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
         """``keep``, and the number of rows, found while they are written."""
@@ -62,9 +81,7 @@ class Scratch:
 
 def persisted(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, shared_dir(df.sparkSession))
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

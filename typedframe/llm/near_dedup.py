@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .bpe import groups
 from .io import Scratch, map_batches, slices, texts_of
-from .words import listed, mix, shingle_sets, similar
+from .words import mix, shingle_sets, similar
 
 #: A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8, but 0.006 at 0.7. So thresholds below LEAST_PERCENT are refused.
 BANDS, ROWS, SKETCH_BITS, LEAST_PERCENT = 28, 5, 512, 80
@@ -55,22 +55,22 @@ def least_agreeing(similarity: float, samples: int = BANDS * ROWS, bits: int = S
     return int(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity))))
 
 
-def _words_hash(words: list[bytes]) -> bytes:
+def _class(raw: bytes) -> bytes:
     """A text's class: 128 bits of SHA-256 over its words."""
-    return sha256(b" ".join(words)).digest()[:16]
+    return sha256(b" ".join(raw.split())).digest()[:16]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Columns doc_id, text_hash, size (bytes of the text), n_shingles, cls (hash of the word sequence), bands and sketch (arrays of long)."""
 
     def rows(batch: pa.RecordBatch) -> list:
-        texts = [t.encode().lower() for t in texts_of(batch, "text")]
+        plain = [t.encode() for t in texts_of(batch, "text")]
+        texts = [t.lower() for t in plain]
         out: list[list] = [[] for _ in range(4)]
         for a, b in groups(texts):
-            words, before = listed(texts[a:b])
-            sets, at, n = shingle_sets(words, before, shingle)
+            sets, at, n = shingle_sets(texts[a:b], shingle)
             full = np.flatnonzero(n)
-            cols: list[list] = [[_words_hash(words[p:q]) for p, q in zip(before[:-1].tolist(), before[1:].tolist())], [[]] * (b - a), [[]] * (b - a)]
+            cols: list[list] = [list(map(_class, texts[a:b])), [[]] * (b - a), [[]] * (b - a)]
             if len(full):
                 samples = minhashes(sets, at[:-1][full], BANDS * ROWS)
                 keys = np.zeros((BANDS, len(full)), np.uint64)
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                     cols[1][i], cols[2][i] = k, s
             for column, x in zip(out, (n.tolist(), *cols)):
                 column.extend(x)
-        return [batch.column("doc_id"), [sha256(t.encode()).digest() for t in texts_of(batch, "text")], [len(t) for t in texts], *out]
+        return [batch.column("doc_id"), [sha256(t).digest() for t in plain], [len(t) for t in texts], *out]
 
     arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("size", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rows, "doc_id long, text_hash binary, size long, n_shingles long, cls binary, bands array<long>, sketch array<long>", arrow)
@@ -120,7 +120,7 @@ def class_texts(docs: DataFrame, needed: DataFrame, few: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raws = [t.encode().lower() for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([_words_hash(r.split()) for r in raws], pa.binary()), pa.array(raws, pa.binary())], names=["cls", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(r) for r in raws], pa.binary()), pa.array(raws, pa.binary())], names=["cls", "text"])
 
     found = texts.mapInArrow(run, "cls binary, text binary").join(needed.select("cls"), "cls", "left_semi")
     return found.groupBy("cls").agg(F.min("text").alias("text"))  # rows may repeat an id, and null ids are many texts'

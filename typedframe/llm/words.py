@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
 from hashlib import blake2b
 from operator import itemgetter
 
@@ -12,8 +11,8 @@ import numpy as np
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Key of the words' hash, which is no polynomial: words can't be made to collide by their pattern.
-WORD_KEY = b"typedframe words"
+#: Keys of the words' hash, and bytes from which on a word is hashed by itself.
+WORD_KEY, SEED, LONG = b"typedframe words", np.uint64(0x9FB21C651E98DF25), 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,34 +34,6 @@ class Numbers(dict):
         return np.array(itemgetter(*words)(self), np.int64)
 
 
-class Hashes(Numbers):
-    """Numbers with a 64-bit hash each, found once a word. Forgets its words when there are too many, so numbers hold for one call."""
-
-    def __init__(self, most: int = 1 << 20):
-        super().__init__()
-        self.most, self.fresh, self.hash = most, [], np.zeros(0, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(blake2b(word, digest_size=8, key=WORD_KEY).digest())
-        return super().__missing__(word)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-            self.hash = np.zeros(0, np.uint64)
-        out = super().of(words)
-        if self.fresh:
-            self.hash = np.concatenate([self.hash, np.frombuffer(b"".join(self.fresh), np.uint64)])
-            self.fresh = []
-        return out
-
-
-@cache
-def hashes() -> Hashes:
-    """One for each Python worker."""
-    return Hashes()
-
-
 def split(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, a blank after each; word starts and ends in them; number of words before each text (one more than texts)."""
     data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
@@ -73,6 +44,49 @@ def split(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, starts, ends, np.searchsorted(starts, begin)
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one integer; zeros behind the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
+
+
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of the eight bytes at each place, the first ``left``."""
+    spare = (np.maximum(8 - left, 0) << 3).astype(np.uint64)
+    return lanes[at] << spare
+
+
+def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit hash of each slice, which may not be empty: eight bytes a step, mixed in between. It is no polynomial, so slices can't be made to collide by their pattern."""
+    lanes, size = _lanes(data), ends - starts
+    h, live = mix(size.astype(np.uint64) * MIX2 + SEED), np.arange(len(starts))
+    for k in range(LONG // 8):
+        h[live] = mix((h[live] ^ _lane(lanes, starts[live] + 8 * k, size[live] - 8 * k)) * MIX1 + SEED)
+        live = live[size[live] > 8 * k + 8]
+        if not len(live):
+            break
+    raw = data.data
+    for i in live.tolist():
+        h[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]], digest_size=8, key=WORD_KEY).digest(), "little")
+    return h
+
+
+def same_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the slices numbered ``a`` and ``b`` have equal bytes."""
+    lanes, size = _lanes(data), ends - starts
+    out = size[a] == size[b]
+    live, raw = np.flatnonzero(out), data.data
+    for k in range(LONG // 8):
+        left = size[a[live]] - 8 * k
+        same = _lane(lanes, starts[a[live]] + 8 * k, left) == _lane(lanes, starts[b[live]] + 8 * k, left)
+        out[live[~same]] = False
+        live = live[same & (left > 8)]
+        if not len(live):
+            break
+    for i in live.tolist():
+        out[i] = raw[starts[a[i]] : ends[a[i]]] == raw[starts[b[i]] : ends[b[i]]]
+    return out
+
+
 def listed(raws: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """All words in order, and how many come before each text (one more than texts)."""
     per_text = [r.split() for r in raws]  # bytes.split parts at 0x20 and 0x09-0x0D, nothing else
@@ -81,10 +95,8 @@ def listed(raws: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    words, before = listed(raws)
-    table = hashes()
-    number = table.of(words)
-    return table.hash[number], before
+    data, starts, ends, before = split(raws)
+    return hash_slices(data, starts, ends), before
 
 
 def windows(words: np.ndarray, n: int) -> np.ndarray:
@@ -118,11 +130,10 @@ def placed(before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return doc, before[:-1][doc] + inside, np.minimum(counts, n)[doc]
 
 
-def shingle_sets(words: list[bytes], before: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text of ``listed``, ascending; where each text's begin (one more than texts); the exact number of its distinct shingles, told apart by their words."""
-    table = hashes()
-    number = table.of(words)
-    word = table.hash[number]
+def shingle_sets(raws: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, ascending; where each text's begin (one more than texts); the exact number of its distinct shingles, told apart by their words' bytes."""
+    data, starts, ends, before = split(raws)
+    word = hash_slices(data, starts, ends)
     doc, first, length = placed(before, n)
     out = np.zeros(len(doc), np.uint64)
     for k in range(n):
@@ -138,9 +149,10 @@ def shingle_sets(words: list[bytes], before: np.ndarray, n: int = 5) -> tuple[np
     differ = np.zeros(len(again), bool)
     for k in range(n):
         has = length[again] > k
-        differ[has] |= number[first[again[has]] + k] != number[first[again[has] - 1] + k]
+        differ[has] |= ~same_slices(data, starts, ends, first[again[has]] + k, first[again[has] - 1] + k)
     for i in np.unique(doc[again[differ]]).tolist():  # a hash stands for several shingles
-        sizes[i] = len({tuple(number[p : p + m].tolist()) for p, m in zip(first[doc == i].tolist(), length[doc == i].tolist())})
+        words = raws[i].split()
+        sizes[i] = len(set(zip(*(words[k:] for k in range(n)))))
     return out[new], at, sizes
 
 
