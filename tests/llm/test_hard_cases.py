@@ -1,5 +1,6 @@
 """Words that collide under polynomial hashes, hot passages, near copies at the threshold, and very long texts."""
 
+import collections
 import hashlib
 import os
 import random
@@ -143,6 +144,25 @@ def test_hot_line_makes_no_large_group(spark, monkeypatch):
     docs.unpersist()
 
 
+@pytest.mark.parametrize("depth", [2, 5, 7, 20])
+def test_matching_statistics(depth):
+    r = np.random.default_rng(depth)
+    segments = [r.integers(1, 4, r.integers(1, 40)) for _ in range(60)]
+    segments += [np.concatenate([segments[3], segments[4]]), segments[5], np.array([9]), np.array([9, 9, 9, 9])]
+    text = np.concatenate([np.append(s, 0) for s in segments])
+    begin = np.cumsum([0, *[len(s) + 1 for s in segments]])[:-1]
+    end = begin + [len(s) for s in segments]
+    length, start = substring_dedup.matching_statistics(substring_dedup.FMIndex(text, depth), text, begin, end)
+    seen = [collections.Counter(tuple(text[k : k + n].tolist()) for k in range(len(text) - n + 1)) for n in range(depth + 1)]
+    want, interval = np.zeros(len(text), int), {}
+    for a, b in zip(begin, end):
+        for p in range(a, b):
+            want[p] = max(n for n in range(min(depth, b - p) + 1) if n == 0 or seen[n][tuple(text[p : p + n].tolist())] > 1)
+            if want[p] == depth:
+                assert interval.setdefault(tuple(text[p : p + depth].tolist()), start[p]) == start[p]
+    assert length.tolist() == want.tolist() and len(interval) == len({*interval.values()})
+
+
 @pytest.mark.parametrize("first_stays", [True, False])
 def test_records_meet_in_two_levels(first_stays):
     from typedframe.llm.exchange import RECORD, meet

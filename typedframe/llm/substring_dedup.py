@@ -78,12 +78,13 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Compressed index of a text of integers from 1 on (0 ends a segment), right for patterns of up to ``depth`` symbols. The suffix array isn't kept."""
+    """Compressed index of a text of integers from 1 on (0 ends a segment), right for patterns of up to ``depth`` symbols. Of the suffix array only the common prefixes of neighbours stay, a byte each."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        n = len(text)
-        rank, h = text.astype(np.int64), 1
+        n, self.depth = len(text), depth
+        rank, h, ranks = text.astype(np.int64), 1, []
         while True:
+            ranks.append((h, rank.astype(np.int32)))
             ahead = np.zeros(n, np.int64)
             if h < n:
                 ahead[: n - h] = rank[h:] + 1
@@ -98,33 +99,77 @@ class FMIndex:
         symbols = int(text.max()) + 1
         self.tree = WaveletTree(np.where(order > 0, text[order - 1], 0), symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+        # common prefixes of neighbours by descending powers of two, as the ranks of the sort tell equal ones; at most 2 * h - 1 >= depth symbols
+        a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(n + 1, np.int64)
+        for h, rank in [(h, rank), *reversed(ranks)] if len(ranks) else []:
+            rank = np.append(rank, -1)
+            same = (rank[np.minimum(a, n)] == rank[np.minimum(b, n)]) & (np.maximum(a, b) + h <= n)
+            a[same] += h
+            b[same] += h
+            common[1:n][same] += h
+        self.common = np.minimum(common, depth).astype(np.int8)
+        self.common[[0, n]] = -1
+        self.edges = [np.flatnonzero(self.common < k).astype(np.int32) for k in range(1, depth + 1)]
+        group = np.cumsum(self.common[:n] < depth) - 1  # of suffixes that share ``depth`` symbols
+        self.deep = self.edges[-1][group], self.edges[-1][group + 1]
 
     def step(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of suffixes that begin with the symbol and go on as those of [low, high)."""
-        return self.first[symbols] + self.tree.rank(symbols, low), self.first[symbols] + self.tree.rank(symbols, high)
-
-
-def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place in ``ends`` of a streamed text: the length, up to ``most``, of the longest string ending there that the indexed text holds more than once, and where its
-    interval begins (equal for equal strings of ``most``). Backward search in lockstep, a symbol a step; a place leaves when its interval holds one suffix."""
-    length, begin = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
-    live, symbols = np.arange(len(ends)), text[ends]
-    low, high = index.first[symbols], index.first[symbols + 1]
-    for k in range(1, most + 1):
-        more = high - low > 1
-        live, low, high = live[more], low[more], high[more]
-        length[live], begin[live] = k, low
-        if k == most or not len(live):
-            break
-        low, high = index.step(text[ends[live] - k], low, high)
-    return length, begin
-
-
-def repeated_windows(text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those windows (numbers in ``starts``) that the text holds more than once, and the begin of each one's interval: their matching statistics reach the threshold."""
-    length, begin = matching_statistics(FMIndex(text, window), text, starts + window - 1, window)
-    found = np.flatnonzero(length == window)
-    return found, begin[found]
+        both = self.tree.rank(np.concatenate([symbols, symbols]), np.concatenate([low, high])) + np.tile(self.first[symbols], 2)
+        return both[: len(low)], both[len(low) :]
+
+    def widened(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of all suffixes that share the first ``length`` symbols of those in [low, high)."""
+        low, high = low.copy(), high.copy()
+        for k in np.unique(length).tolist():
+            own = length == k
+            if k == 0:
+                low[own], high[own] = 0, len(self.common) - 1
+            elif k == self.depth:
+                low[own], high[own] = self.deep[0][low[own]], self.deep[1][high[own] - 1]
+            else:
+                edges = self.edges[k - 1]
+                low[own] = edges[np.searchsorted(edges, low[own], "right") - 1]
+                high[own] = edges[np.searchsorted(edges, high[own])]
+        return low, high
+
+
+def matching_statistics(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of streams (``text[begin:end]``, all in lockstep from their ends): the length, up to the index's depth, of the longest string from there on that the indexed text holds more than
+    once, and where its interval begins (equal for equal strings of that depth).
+
+    A symbol to the left is a backward step. Where it leaves fewer than two suffixes, the string is shortened on the right to the next wider interval, and tried again. Each round
+    is one step or one shortening of every stream.
+    """
+    length, start = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    at, stop = end - 1, begin
+    low, high, size = np.zeros(len(begin), np.int64), np.full(len(begin), len(index.common) - 1), np.zeros(len(begin), np.int64)
+    while True:
+        going = at >= stop
+        if not going.all():
+            at, stop, low, high, size = at[going], stop[going], low[going], high[going], size[going]
+        if not len(at):
+            return length, start
+        new_low, new_high = index.step(text[at], low, high)
+        fits = new_high - new_low > 1
+        low[fits], high[fits], size[fits] = new_low[fits], new_high[fits], size[fits] + 1
+        less = np.flatnonzero(~fits & (size > 0))  # a symbol that the text has once at most matches nothing
+        size[less] = np.maximum(index.common[low[less]], index.common[high[less]])
+        size[size > index.depth] = index.depth
+        wide = np.flatnonzero(fits & (size == index.depth))
+        wide = np.concatenate([less, wide])
+        low[wide], high[wide] = index.widened(low[wide], high[wide], size[wide])
+        done = np.ones(len(at), bool)
+        done[less] = False
+        length[at[done]], start[at[done]] = size[done], low[done]
+        at = at - done
+
+
+def repeated_windows(text: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those windows (numbers in ``starts``) that the text holds more than once, and the begin of each one's interval: its segments are streamed, and matching statistics reach the threshold there."""
+    length, interval = matching_statistics(FMIndex(text, window), text, begin, end)
+    found = np.flatnonzero(length[starts] == window)
+    return found, interval[starts[found]]
 
 
 def write_segments(segments: dict[bytes, list[tuple[int, int, int]]], order: list[bytes], doc_key: np.ndarray) -> bytes:
@@ -177,7 +222,7 @@ def settle_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     n_windows = n_words - window + 1
     which = np.repeat(np.arange(len(n_words)), n_windows)
     offset = np.arange(len(which)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    found, group = repeated_windows(text, begin[which] + offset, window)
+    found, group = repeated_windows(text, begin, begin + n_words, begin[which] + offset, window)
     late = np.zeros(len(which), bool)
     if len(found):
         owner = lead[which[found]]
