@@ -7,6 +7,7 @@ import hashlib
 import heapq
 import unicodedata
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,9 @@ WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 
 @cache
 def classes() -> np.ndarray:
+    kind = np.array([*map(ord, map(itemgetter(0), map(unicodedata.category, map(chr, range(0x110000)))))], np.uint8)
     out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            out[c] = LETTER if kind == "L" else NUMBER
+    out[kind == ord("L")], out[kind == ord("N")] = LETTER, NUMBER
     out[list(WHITE)] = SPACE
     return out
 

@@ -18,6 +18,8 @@ from .io import shared_dir, slices
 #: Fixed by the format: magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
 LEAST_PAYLOAD = 100
+#: Bytes of archives that a reading task gets.
+READ_BYTES = 32 << 20
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers) -> bytes:
@@ -87,7 +89,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20,
 
     Of records with equal payloads of at least 100 bytes that with the smallest id is the response. Only digests
     are aggregated; payloads cross one shuffle, by digest, whose hot keys AQE splits. A task holds one archive's records
-    at a time; its rows are sorted, so a retried task writes the same files, each moved into place when whole.
+    at a time. Names carry the attempt, and the manifest lists those of attempts that ended: what a lost task left is never read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
@@ -103,11 +105,10 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20,
         part, attempt, k, held, size = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, [], 0
 
         def flush():
-            name = f"{part:06d}-{k:05d}.warc.zst"
+            name = f"{part:06d}-{k:05d}-{attempt}.warc.zst"
             data = pack(held)
-            with store.open_output_stream(f"{root}/.{name}.{attempt}") as f:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:  # it is compressed already
                 f.write(data)
-            store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "n_records": pa.array([len(held)], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
 
         for batch in slices(batches):
@@ -129,18 +130,25 @@ _OUT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payl
 
 
 def read_archives(spark, folder: str) -> DataFrame:
-    """Columns page_id, payload_bytes, payload_digest, record_type, refers_to, url from the archives under ``folder``.
+    """Columns page_id, payload_bytes, payload_digest, record_type, refers_to, url from the archives that the manifest under ``folder`` lists.
 
     A response's digest and length are computed anew from its payload, a revisit's come from its headers.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("content")
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    n = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    files = manifest.select("file").repartition(max(1, -(-n // READ_BYTES)), "file")
     number = lambda uri: int(x) if (x := uri.removeprefix("<urn:page:").removesuffix(">")) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for i in range(batch.num_rows):
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{root}/{name}") as f:
+                    archive = f.read()
                 out = []
-                for raw in unpack(batch.column(0)[i].as_py()):
+                for raw in unpack(archive):
                     r = parse(raw)
                     f, fresh = r["fields"], r["fields"]["warc-type"] == "response"
                     digest = hashlib.sha256(r["payload"]).hexdigest() if fresh else f["warc-payload-digest"].removeprefix("sha256:")
@@ -155,7 +163,7 @@ def read_archives(spark, folder: str) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Archives every row in a new folder of the shared store and reads them back.
 
-    A null payload is empty; a null id stays null and never is a revisit's target unless nothing else is; a null URL has no header.
+    A very long payload is one record, never cut. A null payload is empty; a null id stays null and never is a revisit's target unless nothing else is; a null URL has no header.
     Rows that repeat an id and its payload are all responses when that id is the smallest. An empty table writes no archive
     and gives an empty result.
     """
