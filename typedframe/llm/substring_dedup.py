@@ -308,3 +308,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text
     return repeated_intervals(docs, id_col, text_col, window, anchors, encode, lambda blobs: settle_shard(blobs, window), contents, finish, ddl, True, chunk_bytes, hot_chunks, hot_entries)
+
+
+#: The same result by grouping all windows of 20 words.
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 18)) AS k FROM w),
+f AS (SELECT r, k, row_number() OVER (PARTITION BY array_to_string(ws[k:k + 19], ' ') ORDER BY doc_id, r, k) AS n FROM s),
+c AS (SELECT DISTINCT r, unnest(range(k, k + 20)) AS i FROM f WHERE n > 1),
+x AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN c USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)
+"""

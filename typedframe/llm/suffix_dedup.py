@@ -207,3 +207,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return repeated_intervals(docs, id_col, text_col, window, anchors, encode, lambda runs: merge_place(runs, window, gram), contents, finish, ddl, False, chunk_bytes, hot_chunks, hot_entries)
+
+
+#: The same result by grouping all strings of 200 bytes, as hexadecimal digits, cut from blocks of 512 places.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, i, substr(part, 1 + 2 * j, 400) AS win, 512 * i + j AS k FROM (SELECT r, i, substr(h, 1 + 1024 * i, 1422) AS part, least(n - 200 - 512 * i, 511) AS most FROM (SELECT r, h, n, unnest(range(0, (n - 200) // 512 + 1)) AS i FROM d WHERE n >= 200)), LATERAL (SELECT unnest(range(0, most + 1)) AS j)),
+f AS (SELECT r, k, count(*) OVER (PARTITION BY md5_number(win)) AS c FROM b),
+g AS (SELECT r, k, k - row_number() OVER (PARTITION BY r ORDER BY k) AS run FROM f WHERE c > 1),
+e AS (SELECT r, min(k) AS low, max(k) + 200 AS high FROM g GROUP BY r, run),
+o AS (SELECT r, low, high, max(high) OVER (PARTITION BY r ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+p AS (SELECT r, low, high, sum(CASE WHEN before IS NULL OR before < low THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY low) AS span FROM o),
+q AS (SELECT r, span, min(low) AS low, max(high) AS high FROM p GROUP BY r, span),
+z AS (SELECT r, list(low ORDER BY low) AS lows, list(high ORDER BY low) AS highs, sum(high - low) AS gone FROM q GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(lows), 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN lows IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(lows) + 1), lambda x: substr(h, CAST(1 + 2 * (CASE WHEN x = 0 THEN 0 ELSE highs[x] END) AS BIGINT), CAST(2 * ((CASE WHEN x = len(lows) THEN n ELSE lows[x + 1] END) - (CASE WHEN x = 0 THEN 0 ELSE highs[x] END)) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN z USING (r)
+"""
