@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_warc": warc.SQL, "op4_near_dedup": near_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL, "op10_secrets": secret_scan.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_warc": warc.SQL, "op4_near_dedup": near_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL, "op9_pii": pii.SQL, "op10_secrets": secret_scan.SQL}
