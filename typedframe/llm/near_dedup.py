@@ -24,7 +24,7 @@ MOST_BROADCAST = 1 << 18
 #: Keys with HOT_ROWS rows and a share of 1 / MOST_HOT of all rows are dealt over SALTS; there are at most MOST_HOT such keys, whatever the data, so that their list may be broadcast.
 HOT_ROWS, MOST_HOT, SALTS = 256, 20_000, 64
 #: Members of a bucket are compared in blocks of about so many rows and bytes at the most; two blocks meet in one place, and places hold about so many rows and bytes.
-BLOCK, BLOCK_BYTES, PLACE_ROWS, PLACE_BYTES = 512, 4 << 20, 1 << 15, 16 << 20
+BLOCK, BLOCK_BYTES, PLACE_ROWS, PLACE_BYTES = 512, 4 << 20, 1 << 13, 8 << 20
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -235,12 +235,26 @@ def _bucket_links(members: DataFrame, rows: int, most: int, percent: int, shingl
     def compare(table: pa.Table) -> pa.Table:
         place = Place(table)
         bands = place.table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(place.key), -1)
-        text, words, root, found = place.table.column("text"), {}, {}, []
-
-        def of(k: int) -> list[bytes]:
-            if place.cls[k] not in words:
-                words[place.cls[k]] = text[k].as_py().split()
-            return words[place.cls[k]]
+        text, sets, root, found = place.table.column("text"), {}, {}, []
+
+        def of(k: int) -> tuple[np.ndarray, int, bytes]:
+            """Shingle hashes, exact number of shingles, text."""
+            if place.cls[k] not in sets:
+                raw = text[k].as_py()
+                hashes, _, n = shingle_sets([raw], shingle)
+                sets[place.cls[k]] = hashes, int(n[0]), raw
+            return sets[place.cls[k]]
+
+        def linked(x: int, y: int) -> bool:
+            """By hashes first, which can only rule a pair out where none stands for two shingles of a set; words decide."""
+            (a, n, s), (b, m, t) = of(x), of(y)
+            if n == len(a) and m == len(b):
+                if 100 * min(n, m) < percent * max(n, m):
+                    return False
+                both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), m - 1)] == a))
+                if 100 * both < percent * (n + m - both):
+                    return False
+            return bool(similar([s.split()], [t.split()], percent, shingle)[0])
 
         def find(c: int) -> int:
             while (up := root.get(c, c)) != c:
@@ -251,7 +265,7 @@ def _bucket_links(members: DataFrame, rows: int, most: int, percent: int, shingl
             same = bands[near] == bands[x]
             for y in near[bands[x][same.argmax(axis=1)] == place.key[x]].tolist():
                 a, b = find(int(place.component[x])), find(int(place.component[y]))
-                if a != b and similar([of(x)], [of(y)], percent, shingle)[0]:
+                if a != b and linked(x, y):
                     root[max(a, b)] = min(a, b)
                     found.append((max(place.cls[x], place.cls[y]), min(place.cls[x], place.cls[y])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
