@@ -238,6 +238,46 @@ def test_transactions_and_tracers(rt):
         rt.register(Users)
 
 
+def test_durable_folder(spark, tmp_path):
+    where = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, 5.0), (2, 1, 7.0)], "id long, user_id long, total double").write.parquet(f"{where}/orders.parquet")
+    rows = lambda rt: sorted((r.id, r.total) for r in tf.select(Orders.id, Orders.total).from_(Orders).list(rt))
+    one = tf.Runtime(spark, [Orders], where, durable=True)
+    tf.insert(one, Orders, {"user_id": 2, "total": 9.0})
+    one.with_tx(lambda r: (tf.update(r, Orders, {"id": 1, "total": 6.0}), tf.delete(r, Orders, {"id": 2})))
+    with pytest.raises(KeyError):
+        one.with_tx(lambda r: (tf.delete(r, Orders, {"id": 1}), {}["no"]))
+    assert rows(one) == rows(tf.Runtime(spark, [Orders], where)) == [(1, 6.0), (3, 9.0)]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["orders.parquet"]
+    with pytest.raises(tf.BuildError):
+        tf.Runtime(spark, [Orders], {"orders": one.frame(Orders)}, durable=True)
+
+
+def test_jdbc_tables_have_their_own_options(spark):
+    common = {"url": "jdbc:derby:memory:one;create=true", "properties": {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}}
+    other = "jdbc:derby:memory:two;create=true"
+    spark.createDataFrame([(k, k % 3, float(k)) for k in range(1, 41)], "id long, user_id long, total double").write.jdbc(common["url"], "orders", properties=common["properties"])
+    spark.createDataFrame([(1, "x")], "id long, name string").write.jdbc(other, "more", properties=common["properties"])
+    rt = tf.Runtime(spark, [Orders, Extra], jdbc=common, jdbc_tables={"orders": {"column": "id", "lowerBound": 1, "upperBound": 40, "numPartitions": 4}, "extra": {"url": other, "table": "more"}}, durable=True)
+    assert rt.frame(Orders).rdd.getNumPartitions() == 4 and tf.select(Orders.id).from_(Orders).where(Orders.total.gt_val(30.0)).count(rt) == 10
+    assert tf.select(Extra.c("name")).from_(Extra).scalar(rt) == "x"
+    tf.insert(rt, Extra, {"id": 2, "name": "y"})
+    assert sorted(r.name for r in tf.select(Extra.c("name")).from_(Extra).list(tf.Runtime(spark, [Extra], jdbc=common, jdbc_tables={"extra": {"url": other, "table": "more"}}))) == ["x", "y"]
+
+
+def test_inner_transactions(rt):
+    count = lambda: tf.select(Users.id).from_(Users).count(rt)
+    with rt.transaction():
+        tf.insert(rt, Users, {"name": "q", "email": "q@x"})
+        with pytest.raises(KeyError):
+            with rt.transaction():
+                tf.insert(rt, Users, {"name": "r", "email": "r@x"})
+                assert count() == 5
+                raise KeyError
+        assert count() == 4
+    assert count() == 4
+
+
 def test_schema_policies(spark):
     spark.sql("DROP TABLE IF EXISTS extra")
     r = tf.Runtime(spark, [Extra])
