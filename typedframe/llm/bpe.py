@@ -156,7 +156,7 @@ class Encoder:
     ``encode`` decodes what it made and compares it with the text, so a hash collision is found, and the texts are then encoded without the cache.
     """
 
-    def __init__(self, path: str, most: int = 1 << 21):
+    def __init__(self, path: str, most: int = 1 << 19):
         self.ranks, self.most = load_ranks(path), most
         words = sorted(self.ranks, key=self.ranks.get)
         size = max(self.ranks.values()) + 1

@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 
 #: Python handles slices of an Arrow batch of at most so many rows, and of about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Tables of up to so many bytes may be dealt over the cores before they are worked on.
+SMALL = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer file splits than cores, and of at most SMALL bytes, dealt over the cores: its file may be a single row group, which is one task. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= SMALL and df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``). Where none is set, a local session gets one; a cluster is refused."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -62,7 +62,7 @@ METRICS = ("chars_per_token", "chars_per_byte_token", "fallback_share", "token_e
 class Words:
     """Token counts of each distinct word seen, found once a worker: under a piece model with byte fallback, and under a byte-level one."""
 
-    def __init__(self, piece_path: str, byte_path: str, most: int = 1 << 20):
+    def __init__(self, piece_path: str, byte_path: str, most: int = 1 << 18):
         import sentencepiece
 
         self.model, self.bytes, self.most = sentencepiece.SentencePieceProcessor(model_file=piece_path), encoder(byte_path), most

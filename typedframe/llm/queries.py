@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, exact_dedup, near_dedup, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, warc
-from .io import read
+from .io import read, spread
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).drop("n_bytes", "ids")
+    return bpe.bpe_round_trip(spread(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).drop("n_bytes", "ids")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,20 +24,20 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), percent=85)
+    return near_dedup.near_dedup(spread(read(spark, sf_dir, "documents")), percent=85)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))  # as the library takes them unless told otherwise
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), special=special)
+    return packing.pack(spread(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), special=special)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return quality.quality_rules(spread(read(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(spread(read(spark, sf_dir, "documents")))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_spans(read(spark, sf_dir, "documents"))
+    return pii.pii_spans(spread(read(spark, sf_dir, "documents")))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
+    return secret_scan.secret_scan(spread(read(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
