@@ -344,14 +344,16 @@ def _(rt):
 
 
 @contextlib.contextmanager
-def _catalog(spark, *names: str):
-    """Tables of these names, and the registers, are gone before and after."""
-    drop = lambda: [spark.sql(f"DROP TABLE IF EXISTS {n}") for n in (*names, policies.REGISTRY, policies.INDEXES)]
-    drop()
+def _database(spark):
+    """A database of its own for tables and registers, gone afterwards."""
+    before, name = spark.catalog.currentDatabase(), _named(spark)
+    spark.sql(f"CREATE DATABASE {name}")
+    spark.catalog.setCurrentDatabase(name)
     try:
         yield
     finally:
-        drop()
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
 def _named(spark) -> str:
@@ -362,7 +364,7 @@ def _named(spark) -> str:
 def _(rt):
     name = _named(rt.spark)
     kept = TableDef(name, nation.columns, pk="n_nationkey")
-    with _catalog(rt.spark, name):
+    with _database(rt.spark):
         rt.frame(nation).write.format("parquet").saveAsTable(name)
         one = Runtime(rt.spark, [kept], durable=True)
         one.with_tx(lambda r: (mutation.update(r, kept, {"n_nationkey": 5, "n_name": "FIVE"}), mutation.delete(r, kept, {"n_nationkey": 3})))
@@ -375,7 +377,7 @@ def _policy_steps(rt: Runtime) -> list[tuple[str, str]]:
     old = TableDef(name, (column("id", "int64"), column("name", "string")), pk="id")
     new = TableDef(name, (column("id", "int32"), column("note", "string")), pk="id", unique=(Index(("note",)),))
     a, b = Runtime(spark, [old]), Runtime(spark, [new])
-    with _catalog(spark, name):
+    with _database(spark):
         out = [("validate a missing table", _raised(lambda: policies.apply_policy(a, policies.VALIDATE))), ("manual", _raised(lambda: policies.apply_policy(a, policies.MANUAL)))]
         out += [("create", _raised(lambda: policies.apply_policy(a, policies.CREATE_MISSING))), ("validate", _raised(lambda: policies.apply_policy(a, policies.VALIDATE)))]
         spark.sql(f"INSERT INTO {name} VALUES (1, 'a'), (2, 'b')")
