@@ -4,12 +4,14 @@ import collections
 import hashlib
 import os
 import random
+import uuid
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 
-from typedframe.llm import bpe, near_dedup, quality, substring_dedup, suffix_dedup
+from typedframe.llm import bpe, exact_dedup, io, near_dedup, quality, secret_scan, substring_dedup, suffix_dedup
 from typedframe.llm.words import exact_windows, hash_slices, same_slices, shingle_sets, similar, split
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -193,3 +195,37 @@ def test_texts_longer_than_a_block_are_whole(spark):
     assert near == {1: (count(long), 1), 2: (count("x " + tail), 2), 3: (count(long + " end"), 1)}
     words = quality.quality_rules(docs.selectExpr("*", "'en' AS lang"), P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"))
     assert {x.doc_id: x.n_words for x in words.collect()} == {1: 140_000, 2: 301, 3: 140_001}
+
+
+@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, secret_scan.secret_scan, exact_dedup.first_rows])
+def test_native_operators_run_no_python(spark, monkeypatch, run):
+    """None of the plans that are run on the way, nor that of the result, has a Python node."""
+    docs = spark.createDataFrame([(k, f"text {k % 3} password=abcdef{k}", "en", "s") for k in range(20)], "doc_id long, text string, lang string, source string")
+    plans, plain = [], io._written
+    monkeypatch.setattr(io, "_written", lambda df, path: (plans.append(df._jdf.queryExecution().toString()), plain(df, path))[1])
+    out = run(docs)
+    plans.append(out._jdf.queryExecution().toString())
+    assert out.count() in (3, 20) and len(plans) > 2
+    assert not any(word in p for p in plans for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_settings_come_back_and_folders_go(spark, tmp_path, monkeypatch):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set(keys[0], "777")
+    monkeypatch.setattr(io, "shared_dir", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    try:
+        before = [spark.conf.get(k) for k in keys]
+        docs = spark.createDataFrame([(k, f"a b c d e f {k}") for k in range(9)], "doc_id long, text string")
+        assert near_dedup.near_dedup(docs).count() == exact_dedup.exact_dedup(docs).count() == 9
+        assert [spark.conf.get(k) for k in keys] == before
+        assert len(list(tmp_path.iterdir())) == 2  # the results
+    finally:
+        spark.conf.unset(keys[0])
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_clusters_need_a_shared_folder(master):
+    bare = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(master=master, getConf=lambda: bare, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="share"):
+        io.shared_dir(session)

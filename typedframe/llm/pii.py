@@ -118,7 +118,7 @@ def redact(text: str) -> str:
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Columns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and redacted), a row for each input row.
 
-    A null text is empty and has no spans (redacted stays empty); null ids and repeated rows pass through; an empty
+    A null text is empty and has no spans (redacted stays empty); a very long one is scanned whole, in linear time; null ids and repeated rows pass through; an empty
     table gives an empty result; other columns are ignored. No shuffle.
     """
     join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
