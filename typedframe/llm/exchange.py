@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 from hashlib import blake2b
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +101,21 @@ def window_records(chunk: Chunk, a: Anchors, window: int, contents: Callable[[li
     start = np.repeat(a.low, n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    seen: dict[bytes, int] = {}
-    lead = np.fromiter((seen.setdefault(blake2b(x, digest_size=16).digest(), i) for i, x in enumerate(contents(chunk.texts, doc, start))), np.int64, len(doc))
-    distinct = np.fromiter(seen.values(), np.int64, len(seen))
-    out = np.zeros(len(seen), RECORD)
-    both = np.frombuffer(b"".join(seen), np.uint64).reshape(-1, 2)
-    out["hi"], out["lo"], out["chunk"], out["doc"], out["start"] = both[:, 0], both[:, 1], chunk.number, doc[distinct], start[distinct]
-    out["twice"] = np.bincount(lead, minlength=len(doc))[distinct] > 1
+    digests = bytearray()
+    for part in batched(contents(chunk.texts, doc, start), 1 << 14):
+        digests += b"".join([blake2b(x, digest_size=16).digest() for x in part])
+    both = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    by_content = np.lexsort((both[:, 1], both[:, 0]))  # stable: the first of equal ones leads
+    new = np.ones(len(both), bool)
+    new[1:] = (both[by_content[1:]] != both[by_content[:-1]]).any(axis=1)
+    distinct, size = by_content[new], np.diff(np.append(np.flatnonzero(new), len(both)))
+    out = np.zeros(len(distinct), RECORD)
+    out["hi"], out["lo"], out["chunk"], out["doc"], out["start"] = both[distinct, 0], both[distinct, 1], chunk.number, doc[distinct], start[distinct]
+    out["twice"] = size > 1
     key = chunk.keys()[doc[distinct]]
     out["null"], out["id"], out["th"] = key[:, 0], key[:, 1], key[:, 2]
-    again = lead != np.arange(len(doc))
+    again = np.ones(len(doc), bool)
+    again[distinct] = False
     if not first_stays:
         again[distinct[out["twice"]]] = True
     return out, np.stack([doc[again], start[again], start[again] + window], axis=1)
