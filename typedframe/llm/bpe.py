@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .io import map_batches, texts_of
+from .io import FORGET, map_batches, texts_of
 
 #: Codepoint classes.
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -336,10 +336,12 @@ class Encoder:
 @cache
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    out = Encoder(path)
+    FORGET.append(out.forget)
+    return out
 
 
-def groups(texts: list[str], chars: int = 1 << 20):
+def groups(texts: list[str], chars: int = 1 << 18):
     """Runs of texts of about so many characters; a longer text is one of its own."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -355,7 +357,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
     """Columns doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, ids (array<int>), a row for each input row.
 
     A null or empty text has no tokens. Null ids and repeated rows pass through; an empty table gives an
-    empty result; other columns are ignored. No shuffle; a worker holds a million characters at a time, or one longer text, and a
+    empty result; other columns are ignored. No shuffle; a worker holds 262,144 characters at a time, or one longer text, and a
     bounded cache of pieces.
     """
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -93,13 +94,26 @@ def persisted(df: DataFrame) -> DataFrame:
     return _written(df, shared_dir(df.sparkSession))
 
 
+#: What a worker has learnt and may forget: called when a task ends, as workers live on through later stages.
+FORGET: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Forgets caches and gives freed memory back to the system, where its allocator can."""
+    for forget in FORGET:
+        forget()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in small parts, whatever the session's batch size."""
+    """The batches in small parts, whatever the session's batch size; afterwards the worker's memory is released."""
     for batch in batches:
         n = batch.num_rows
         step = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(1, batch.nbytes)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    release()
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str, arrow: pa.Schema) -> DataFrame:

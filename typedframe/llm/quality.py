@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import encoder, groups
-from .io import map_batches, slices, texts_of
+from .io import FORGET, map_batches, slices, texts_of
 from .words import _SPACE, Numbers, exact_windows
 
 SYMBOLS = "#*$%&|<>"
@@ -145,7 +145,9 @@ def band_of(lang: str | None, text: str, bands: Mapping[str, Mapping[str, tuple[
 
 @cache
 def words(piece_path: str, byte_path: str) -> Words:
-    return Words(piece_path, byte_path)
+    out = Words(piece_path, byte_path)
+    FORGET.append(out.forget)
+    return out
 
 
 def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -211,7 +213,7 @@ _COLUMNS = [("doc_id", "long"), *[(c, "long") for c in ("n_words", "word_chars",
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def quality_rules(docs: DataFrame, piece_path: str, byte_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS, chars: int = 1 << 20) -> DataFrame:
+def quality_rules(docs: DataFrame, piece_path: str, byte_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS, chars: int = 1 << 19) -> DataFrame:
     """Base counts, base_failed, kept and the method's measures, a row for each input row.
 
     Words are encoded one by one with a blank before them, each distinct word once a worker: characters a token under both vocabularies, the share
@@ -230,7 +232,7 @@ def quality_rules(docs: DataFrame, piece_path: str, byte_path: str, id_col: str
     return map_batches(picked, rows, ", ".join(f"{c} {t}" for c, t in _COLUMNS), pa.schema([(c, _ARROW[t]) for c, t in _COLUMNS]))
 
 
-def kept_rows(docs: DataFrame, piece_path: str, byte_path: str, text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS, chars: int = 1 << 20) -> DataFrame:
+def kept_rows(docs: DataFrame, piece_path: str, byte_path: str, text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS, chars: int = 1 << 19) -> DataFrame:
     """The rows that the rules keep, each judged where it is: no join, no shuffle, ids don't matter. Nulls and empty texts as in ``quality_rules``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
