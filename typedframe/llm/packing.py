@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, encoder, groups
-from .io import map_batches, texts_of
+from .io import Scratch, map_batches, texts_of
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,19 +116,19 @@ def pieces(docs: DataFrame, ranks_path: str, end_id: int, capacity: int, special
     return map_batches(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), rows, ddl, pa.schema(fields))
 
 
-def pack(docs: DataFrame, ranks_path: str, end_id: int = 2, capacity: int = 1024, shard_docs: int = 100_000, with_ids: bool = False, special: Mapping[str, int] | None = None, **columns: str) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, end_id: int = 2, capacity: int = 1024, shard_pieces: int = 150_000, with_ids: bool = False, special: Mapping[str, int] | None = None, **columns: str) -> DataFrame:
     """The pieces of every document with sequence_id and offset.
 
-    Pieces are dealt out by hash to shards of about ``shard_docs`` documents each; a shard packs them by the sum-of-squares
+    Pieces are written to a table and dealt out by hash to shards of about ``shard_pieces`` each; a shard packs them by the sum-of-squares
     rule, longest first, so a task's work is bounded whatever the corpus; what is in sequences left open at the end is placed again by the same rule. Only lengths are needed: token ids stay out of the shuffle
     unless asked for. ``special`` has strings that stand for one id each wherever they are in a text; without it they are ordinary text.
 
     A null or empty text is its end id alone. A very long text is encoded whole, then cut. Null ids and repeated rows are packed like others; an empty table gives an empty result; other
     columns are ignored.
     """
-    shards = max(1, round(docs.count() / shard_docs))
-    cut = pieces(docs, ranks_path, end_id, capacity, special or {}, with_ids=with_ids, **columns)
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    store = Scratch(docs.sparkSession)
+    cut, n = store.counted(pieces(docs, ranks_path, end_id, capacity, special or {}, with_ids=with_ids, **columns))
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, round(n / shard_pieces)))))
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "piece")])
@@ -137,4 +137,4 @@ def pack(docs: DataFrame, ranks_path: str, end_id: int = 2, capacity: int = 1024
         return table.drop_columns("shard").append_column("sequence_id", pa.array(bins + first, pa.int64())).append_column("offset", pa.array(places, pa.int64()))
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return cut.groupBy("shard").applyInArrow(fill, ddl)
+    return store.finish(cut.groupBy("shard").applyInArrow(fill, ddl))
