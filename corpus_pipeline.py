@@ -1,6 +1,6 @@
 """A corpus pipeline: quality rules, exact dedup, near-dedup, redaction of personal data, packing.
 
-Each stage takes (spark, docs, sf_dir), writes its result to the shared folder in small batches, and, but for the last, returns the columns of documents. Every row is judged by itself: rows whose doc_id is null or repeated don't
+Each stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of documents; those that run Python over whole texts write their result to the shared folder, in small batches. Every row is judged by itself: rows whose doc_id is null or repeated don't
 share a fate. Null and empty texts fail the quality rules; in a later stage alone, exact dedup keeps one row of all empty texts, near-dedup links no empty text,
 redaction leaves them, and packing gives each its end id. An empty table stays empty; columns beside those of documents are dropped. A text of any length is one row and is never cut but by packing.
 """
@@ -21,11 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return persisted(exact_dedup.first_rows(docs.select(*COLUMNS)))
+    return exact_dedup.first_rows(docs.select(*COLUMNS))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return persisted(near_dedup.first_rows(docs.select(*COLUMNS)))
+    return near_dedup.first_rows(docs.select(*COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name in ("exact_dedup", "near_dedup"):
+            docs = persisted(docs)
     return docs
